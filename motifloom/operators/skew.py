@@ -31,15 +31,16 @@ def hot_keys(df: DataFrame, key: str, least_rows: int = 50_000, most: int = HOT_
     return [r[0] for r in top if r["_n"] >= least_rows]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least_rows: int = 50_000) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least_rows: int = 50_000, hot: list | None = None) -> DataFrame:
     """Join left, whose keys may be skewed, with right, which has one row a key at most.
 
     Rows of hot keys stay where they are and meet a broadcast of the (at most HOT_KEYS) rows that right has for them; all
-    others are shuffled by key. how: inner, left, left_semi or left_anti. A null key matches nothing.
+    others are shuffled by key. how: inner, left, left_semi or left_anti. A null key matches nothing. hot: the hot keys, if the
+    caller knows them.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join can't do {how}")
-    hot = hot_keys(left, key, least_rows)
+    hot = hot_keys(left, key, least_rows) if hot is None else hot
     nulls = left.filter(F.col(key).isNull())
     known = left.filter(F.col(key).isNotNull())
     keep_nulls = how in ("left", "left_anti")
