@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions.rules import hits
+from motifloom.session import spread
 
 TILE = 4096
 
@@ -24,9 +25,9 @@ def rule_hits(rules: DataFrame, words: DataFrame, group: str, tile: int = TILE)
     n_words = words.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("wt"))
     n_rules = wild.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("rt"))
     tiles = n_words.join(n_rules, group)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    r = wild.join(tiles, group).withColumn("rb", F.pmod(F.hash("rid"), F.col("rt"))).withColumn("wb", spread("wt")).select(group, "wb", "rb", "rid", "regex")
-    w = words.join(tiles, group).withColumn("wb", F.pmod(F.hash("ord"), F.col("wt"))).withColumn("rb", spread("rt")).select(group, "wb", "rb", "ord", "word")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    r = wild.join(tiles, group).withColumn("rb", F.pmod(F.hash("rid"), F.col("rt"))).withColumn("wb", each("wt")).select(group, "wb", "rb", "rid", "regex")
+    w = words.join(tiles, group).withColumn("wb", F.pmod(F.hash("ord"), F.col("wt"))).withColumn("rb", each("rt")).select(group, "wb", "rb", "ord", "word")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         found = hits(left["regex"].to_pylist(), right["word"].to_pylist()) if left.num_rows and right.num_rows else []
@@ -38,7 +39,7 @@ def rule_hits(rules: DataFrame, words: DataFrame, group: str, tile: int = TILE)
 
     kind = words.schema[group].dataType.simpleString()
     keys = [group, "wb", "rb"]
-    tiled = r.groupBy(*keys).cogroup(w.groupBy(*keys)).applyInArrow(scan, f"{group} {kind}, rid bigint, ord bigint")
+    tiled = spread(r, *keys).groupBy(*keys).cogroup(spread(w, *keys).groupBy(*keys)).applyInArrow(scan, f"{group} {kind}, rid bigint, ord bigint")
     return same.unionByName(tiled)
 
 
@@ -84,7 +85,7 @@ def negative_hits(rules: DataFrame, prefix: list[tuple[str, str]], k: int) -> Da
                 pool.append(int(of[f].sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(negs, pa.list_(pa.int32())), pa.array(pool, pa.int32())], names=["frag_id", "rid", "negs", "pool"])
 
-    return rules.select("frag_id", "rid", "regex", "exact").mapInArrow(run, "frag_id string, rid bigint, negs array<int>, pool int")
+    return spread(rules.select("frag_id", "rid", "regex", "exact")).mapInArrow(run, "frag_id string, rid bigint, negs array<int>, pool int")
 
 
 def first_cover(ranked: DataFrame, group: str) -> DataFrame:

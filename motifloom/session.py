@@ -39,3 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle df (by keys) into a fixed number of partitions before work that costs far more than its bytes tell, so that adaptive
+    execution doesn't join small but slow partitions into a few."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
