@@ -62,7 +62,7 @@ class _Part:
 def blocks(text: str) -> list[str]:
     """The pieces of text between lines that are empty or hold only white space; further blank lines make no blocks."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    return [b for b in _GAP.split("\n" + text + "\n") if b and not b.isspace()]
+    return [b.strip("\n") for b in _GAP.split("\n" + text + "\n") if b and not b.isspace()]
 
 
 def units(text: str) -> Iterator[Unit]:
