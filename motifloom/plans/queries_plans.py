@@ -1,17 +1,29 @@
 """Queries of the whole pipelines."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motifloom.operators.queries_core import frag_words, words
 from motifloom.plans.mine import fragment_edges, mine_rules, run_totals
 from motifloom.plans.neighbours import build_graph
-from motifloom.session import cut
+from motifloom.session import cut, read
 
 
 def q_fragment_edges(spark, d):
     return fragment_edges(cut(frag_words(spark, d))).withColumn("s", F.round(F.col("s").cast("double"), 5))
 
 
+def part_words(spark, d):
+    """Brands and the two-token names of their parts as fragments and words, in the order of the names."""
+    p = read(spark, d, "part").select(F.col("p_brand").alias("frag_id"), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("word")).dropna().distinct()
+    order = F.row_number().over(Window.partitionBy("frag_id").orderBy("word")) - 1
+    return p.select("frag_id", order.cast("long").alias("ord"), F.xxhash64("word").alias("word_id"), "word")
+
+
+def q_mine_part_words(spark, d):
+    return mine_rules(part_words(spark, d))[0].withColumn("rule_fpr", F.round("rule_fpr", 9))
+
+
 def q_mine_rules(spark, d):
     return mine_rules(frag_words(spark, d))[0].withColumn("rule_fpr", F.round("rule_fpr", 9))
 
@@ -29,5 +41,5 @@ def q_build_graph(spark, d):
     return build_graph(words(spark, d)).neighbors.withColumn("score", F.round(F.col("score").cast("double"), 4))
 
 
-QUERIES = {f.__name__: f for f in (q_fragment_edges, q_mine_rules, q_mine_summary, q_run_totals, q_build_graph)}
+QUERIES = {f.__name__: f for f in (q_fragment_edges, q_mine_part_words, q_mine_rules, q_mine_summary, q_run_totals, q_build_graph)}
 SQL: dict[str, str] = {}

@@ -1,0 +1,299 @@
+"""Mining, cover, matching, graph, sources and streaming on small fixtures, against brute force."""
+
+import itertools
+import json
+import pickle
+import random
+from collections import defaultdict
+
+import pytest
+
+from motifloom.functions import rules as R
+from motifloom.operators import align, anchors, graph
+from motifloom.operators.cover import negative_prefix, rule_hits
+from motifloom.operators.matching import greedy_matching
+from motifloom.operators.skew import dominant_keys, frag_word_key_stats, hot_keys, lookup_join, salted_key_stats
+from motifloom.operators.words import clean_words, dense_number, frag_words, running_start
+from motifloom.plans.mine import fragment_edges, mine_rules, run_totals
+from motifloom.plans.neighbours import build_graph
+from motifloom.sources import io
+from motifloom.streaming.rules import match_counts, match_stream
+
+
+def _fw(spark, lists):
+    rows = [(f, k, k, w) for f, ws in lists.items() for k, w in enumerate(ws)]
+    return spark.createDataFrame(rows, "frag_id string, ord long, word_id long, word string")
+
+
+# ---- skew ----
+
+
+def _stats(rows):
+    by = defaultdict(list)
+    for k, p, x in rows:
+        if k is not None:
+            by[k].append((p, x))
+    least = lambda f, v: f([x for _, x in v if x is not None], default=None)
+    return {(k, len(v), len({p for p, _ in v if p is not None}), least(min, v), least(max, v)) for k, v in by.items()}
+
+
+def test_salted_stats_equal_brute_force(spark):
+    random.seed(1)
+    rows = [(random.choice(["hot", "hot", "hot", "warm", f"k{random.randint(0, 20)}", None]), random.choice([None, *range(50)]), random.choice([None, *range(99)])) for _ in range(3000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "key string, partner int, pos int, n_rows int")
+    for per_salt in (10, 10**6):
+        assert {tuple(r) for r in salted_key_stats(df, ["key"], "partner", "pos", per_salt).collect()} == _stats(rows)
+    assert salted_key_stats(df.limit(0), ["key"], "partner", "pos").collect() == []
+
+
+def test_dominant_keys(spark):
+    rows = [(1, " Frag_A", 0), (1, "frag_a", 5), (2, "FRAG_A ", 1), (None, "frag_b", 2), (3, None, 3)] + [(k, f"f{k}", 0) for k in range(10, 105)]
+    df = spark.createDataFrame(rows, "word_id int, frag_id string, pos int")
+    assert {tuple(r) for r in dominant_keys(df, 3.0).collect()} == {("frag", "frag_a")}
+    stats = {(r.key_kind, r.key_value): tuple(r)[2:] for r in frag_word_key_stats(df).collect()}
+    assert stats["frag", "frag_a"] == (3, 2, 0, 5) and stats["word", "1"] == (2, 1, 0, 5) and stats["frag", "frag_b"] == (1, 0, 2, 2)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_lookup_join(spark, how):
+    left = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 0), (3, 0), (None, 7)], "k int, a int")
+    right = spark.createDataFrame([(1, "x"), (2, "y"), (9, "z")], "k int, b string")
+    want = sorted(map(tuple, left.join(right, "k", how).collect()), key=repr)
+    for least in (10, 1, 10**6):
+        assert sorted(map(tuple, lookup_join(left, right, "k", how, least_rows=least).collect()), key=repr) == want
+    assert hot_keys(left, "k", 10) == [1]
+
+
+def test_numbers(spark):
+    df = spark.createDataFrame([(x,) for x in random.sample(range(500), 300)], "x int").repartition(6)
+    got = {r.x: r.n for r in dense_number(df, [df.x], "n").collect()}
+    assert got == {x: i for i, x in enumerate(sorted(got))}
+    sums = {r.x: r.s for r in running_start(df.withColumn("v", df.x % 3), "x", "v", "s", 16).collect()}
+    assert all(s == sum(y % 3 for y in sums if y < x) for x, s in sums.items())
+
+
+def test_frag_words(spark):
+    words = spark.createDataFrame([(1, "ab "), (1, "AB"), (2, None), (3, "c_d")], "word_id int, word string")
+    pairs = spark.createDataFrame([(1, "F ", 4), (1, "f", 2), (2, "f", 0), (3, "f", 2), (None, "f", 1), (3, None, 1), (3, "g", None), (8, "f", 1)], "word_id int, frag_id string, pos int")
+    got = sorted((r.frag_id, r.word) for r in frag_words(words, pairs).orderBy("ord").collect())
+    assert got == [("f", "AB"), ("f", "C_D"), ("g", "C_D")] and clean_words(words.limit(0)).collect() == []
+
+
+# ---- anchors ----
+
+
+def _anchors(spark, word):
+    df = spark.createDataFrame([(1, word), (2, None)], "word_id int, word string")
+    return sorted(r.anchor for r in anchors.anchors(df).collect())
+
+
+def test_anchor_goldens(spark):
+    assert _anchors(spark, "ABCD") == sorted("exact3:ABC exact3:BCD exact4:ABCD prefix3:ABC prefix4:ABCD suffix3:BCD suffix4:ABCD".split())
+    assert _anchors(spark, "A_BC") == sorted("exact3:ABC prefix3:ABC suffix3:ABC gap:A***BC".split())
+    assert _anchors(spark, "") == [] and _anchors(spark, "A__B") == []
+    assert "spaced:ABC***EFG" in _anchors(spark, "ABCDEFG")
+
+
+def test_candidates_equal_brute_force(spark):
+    random.seed(3)
+    ws = ["".join(random.choice("ACDE_") for _ in range(random.randint(1, 9))) for _ in range(60)]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(ws)], "word_id int, word string")
+    lists = defaultdict(list)
+    for r in anchors.anchors(df).collect():
+        lists[r.anchor].append(r.word_id)
+    for cap in (12, None):
+        score = defaultdict(int)
+        for key, ids in lists.items():
+            if cap is None or len(ids) <= cap:
+                for a, b in itertools.combinations(sorted(ids), 2):
+                    if a != b:
+                        score[a, b] += anchors.WEIGHTS.get(key.split(":")[0], anchors.OTHER_WEIGHT)
+        size = [len(w.replace("_", "")) for w in ws]
+        want = {(a, b, s) for (a, b), s in score.items() if s >= 10 and min(size[a], size[b]) >= 3 and max(size[a], size[b]) <= 5 * min(size[a], size[b])}
+        assert {tuple(r) for r in anchors.candidate_pairs(df, cap).collect()} == want and want
+
+
+# ---- matching and mining ----
+
+
+def test_matching_equals_the_walk(spark):
+    random.seed(4)
+    rows = {(g, a, b): float(random.randint(1, 6)) for g in ("x", "y") for a, b in (sorted(random.sample(range(40), 2)) for _ in range(200))}
+    df = spark.createDataFrame([(*k, v, 0) for k, v in rows.items()] + [(None, 1, 2, 9.0, 0), ("x", 1, 2, None, 0)], "grp string, a long, b long, s double, k int")
+    want = set()
+    for g in ("x", "y"):
+        used = set()
+        for (_, a, b), s in sorted(((k, v) for k, v in rows.items() if k[0] == g), key=lambda e: (-e[1], e[0])):
+            if not used & {a, b}:
+                used |= {a, b}
+                want.add((g, a, b, s))
+    for bound in (10**6, 3):
+        assert {tuple(r)[:4] for r in greedy_matching(df, "grp", bound).collect()} == want
+    assert greedy_matching(df.limit(0), "grp").collect() == []
+
+
+def _slow_edges(ws):
+    out = {}
+    for a, b in itertools.combinations(range(len(ws)), 2):
+        score, rule, kind = align.mine_pairs([ws[a]], [ws[b]])[0]
+        c = R.costs(R.parse(rule))
+        if score >= 2 and R.allowed(c) and R.covers(rule, ws[a]) and R.covers(rule, ws[b]):
+            out[a, b] = (round(score, 5), rule, kind, c.complexity)
+    return out
+
+
+def _family(n, seed):
+    random.seed(seed)
+    base = ["".join(random.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(random.randint(5, 10))) for _ in range(6)]
+    out = []
+    for _ in range(n):
+        w = list(random.choice(base))
+        for _ in range(random.randint(0, 2)):
+            w[random.randrange(len(w))] = random.choice("ACDEFGHIKLMNPQRSTVWY_") * random.randint(0, 2) or "G"
+        out.append("".join(w))
+    return out
+
+
+def test_fragment_edges_lose_none(spark):
+    ws = _family(60, 5) + ["A" * 16, "A" * 17, "AC", "", "A_C_E", "AC_D_E"]
+    want = _slow_edges(ws)
+    df = _fw(spark, {"frag_x": ws, "frag_y": ["ACDEF"]})
+    for block in (512, 9):
+        got = {(r.a, r.b): (round(r.s, 5), r.rule, r.edge_type, r.complexity) for r in fragment_edges(df, block).collect()}
+        assert got == want and len(want) > 40
+
+
+def _slow_mine(ws, pool, target, max_fpr):
+    edges, used, cand = _slow_edges(ws), set(), []
+    for (a, b), (s, rule, _, c) in sorted(edges.items(), key=lambda e: (-e[1][0], e[0])):
+        if not used & {a, b}:
+            used |= {a, b}
+            cand.append((rule, c))
+    cand += [(w, R.costs(R.parse(w)).complexity) for k, w in enumerate(ws) if k not in used]
+    hit = [({k for k, w in enumerate(ws) if R.covers(r, w)}, {k for k, w in enumerate(pool) if R.covers(r, w)}) for r, _ in cand]
+    covered, bad, gen, out = set(), set(), set(), []
+    for k in sorted(range(len(cand)), key=lambda k: (-len(hit[k][0]), cand[k][1], k)):
+        pos, neg = hit[k]
+        if not pos - covered or (pool and len(bad | neg) / len(pool) > max_fpr):
+            continue
+        out.append((cand[k][0], len(pos - covered), cand[k][1]))
+        covered |= pos
+        bad |= neg
+        gen |= pos if len(pos) > 1 else set()
+        if len(covered) / len(ws) >= target:
+            break
+    out += [(w, 1, 0.0) for k, w in enumerate(ws) if k not in covered]
+    overall = len(set().union(*[n for _, n in hit])) / len(pool) if pool else 0.0
+    return sorted(out), len(gen) / len(ws), overall
+
+
+@pytest.mark.parametrize("target, max_fpr", [(0.85, 0.1), (1.0, 1.0), (0.0, 0.0), (0.9, 0.02)])
+def test_mining_equals_the_walk(spark, target, max_fpr):
+    lists = {"frag_a": _family(30, 1), "frag_b": _family(25, 2), "frag_c": ["ACDEFG"], "frag_d": ["ACDEFG", "ACDEFG", "A_DEF"]}
+    df = _fw(spark, lists)
+    prefix = negative_prefix(df, 20)
+    rules, summary = mine_rules(df, target, max_fpr, 20)
+    got = defaultdict(list)
+    for r in rules.collect():
+        got[r.frag_id].append((r.rule, r.covered_count, r.average_score))
+    about = {r.frag_id: r for r in summary.collect()}
+    for frag, ws in lists.items():
+        pool = [w for f, w in prefix if f != frag][:20]
+        want, gen, overall = _slow_mine(ws, pool, target, max_fpr)
+        assert sorted(got[frag]) == want
+        assert about[frag].gen_coverage == pytest.approx(gen) and about[frag].overall_fpr == pytest.approx(overall) and about[frag].coverage == 1.0
+    total = run_totals(summary).first()
+    assert (total.n_fragments, total.n_words) == (4, sum(map(len, lists.values())))
+
+
+def test_mining_goldens_and_nothing(spark):
+    lists = {"f": ["RYRGSDC", "KYRGSDC", "AAAAWW"], "g": ["HYRGSDC", "PPPP"]}
+    rules = {(r.rule, r.average_score) for r in mine_rules(_fw(spark, lists), 0.85, 0.5)[0].filter("frag_id = 'f'").collect()}
+    assert rules == {("[basic]-Y-R-G-S-D-C", 7.5), ("AAAAWW", 6.0)}
+    strict = {(r.rule, r.average_score) for r in mine_rules(_fw(spark, lists), 0.85, 0.1)[0].filter("frag_id = 'f'").collect()}
+    assert strict == {("AAAAWW", 6.0), ("RYRGSDC", 0.0), ("KYRGSDC", 0.0)}
+    rules, summary = mine_rules(_fw(spark, {}))
+    assert rules.collect() == [] == summary.collect() and run_totals(summary).first().n_fragments == 0
+
+
+def test_rule_tiles(spark):
+    ws = _family(40, 9)
+    words = spark.createDataFrame([("g", k, w) for k, w in enumerate(ws)], "grp string, ord long, word string")
+    texts = ["A-x(0,3)-C", ws[0], "[basic]-_", "_-x(2,4)", "x(4,4)-[polar]-x(0,4)"]
+    rules = spark.createDataFrame([("g", k, r) for k, r in enumerate(texts)], "grp string, rid long, rule string")
+    rules = rules.select("grp", "rid", R.rule_regex(rules.rule).alias("regex"), rules.rule.substr(1, 0).alias("exact"))
+    rules = rules.withColumn("exact", rules.exact.cast("string")).selectExpr("grp", "rid", "regex", f"if(rid = 1, '{ws[0]}', null) exact")
+    want = {("g", k, o) for k, r in enumerate(texts) for o, w in enumerate(ws) if (w == r if k == 1 else R.covers(r, w))}
+    for tile in (4096, 3):
+        assert {tuple(r) for r in rule_hits(rules, words, "grp", tile).collect()} == want
+
+
+# ---- graph, sources, streaming ----
+
+
+def test_graph(spark, tmp_path):
+    ws = [w for w in _family(40, 7) if w.replace("_", "")] + ["QQ", "WWWWWWWWWWWW"]
+    df = spark.createDataFrame(list(enumerate(ws)), "word_id int, word string")
+    g = build_graph(df, top=3, threshold=3.0)
+    pairs = {(r.i, r.j) for r in anchors.candidate_pairs(df).collect()}
+    best = {(i, j): align.graph_pairs([ws[i]], [ws[j]])[0][1:] for i, j in pairs}
+    want = {k: v for k, v in best.items() if v[0] >= 3.0}
+    assert {(r.i, r.j): (r.score, r.rule, r.edge_type) for r in g.edges.collect()} == want and want
+    near = defaultdict(list)
+    for (i, j), (s, _, _) in want.items():
+        near[i].append((-s, j))
+        near[j].append((-s, i))
+    assert {(r.word_id, r.rank, r.neighbor_id) for r in g.neighbors.collect()} == {(i, k + 1, j) for i, v in near.items() for k, (_, j) in enumerate(sorted(v)[:3])}
+    start = 0
+    for r in g.degrees.orderBy("word_id").collect():
+        assert (r.degree, r.indptr) == (min(3, len(near[r.word_id])), start)
+        start += r.degree
+    assert g.summary.first().num_verified_edges == 2 * len(want)
+    io.write_graph(g, str(tmp_path / "g"))
+    back = io.read_graph(spark, str(tmp_path / "g"))
+    assert back.neighbors.count() == g.neighbors.count() and back.rules.count() == g.rules.count()
+    empty = build_graph(df.limit(0))
+    assert empty.neighbors.collect() == [] and empty.summary.first().num_verified_edges == 0
+
+
+def test_undirected_drops_what_is_no_link(spark):
+    rows = [(1, 2, 3.0, 0), (2, 1, 4.0, 1), (1, -1, 9.0, 0), (1, 1, 9.0, 0), (None, 2, 9.0, 0), (3, 1, float("nan"), 0), (3, None, 1.0, 0), (4, 1, None, 0)]
+    df = spark.createDataFrame(rows, "word_id int, neighbor_id int, score float, edge_type byte")
+    assert [tuple(r) for r in graph.undirected(df).collect()] == [(1, 2, 4.0, 1)]
+
+
+def test_sources(spark, tmp_path):
+    with open(tmp_path / "a.pkl", "wb") as f:
+        pickle.dump({"frag2words": {"frag_1": ["B", "A"], "frag_2": {"D", "C"}, "frag_3": {"E": 1}}}, f)
+    rows = io.read_pickle(spark, str(tmp_path / "a.pkl"))
+    assert sorted(map(tuple, rows.collect())) == [("frag_1", 0, "B"), ("frag_1", 1, "A"), ("frag_2", 0, "C"), ("frag_2", 1, "D"), ("frag_3", 0, "E")]
+    with pytest.raises(ValueError):
+        io.fragment_lists({"other": []})
+    assert io.fragment_lists({}) == {}
+    (tmp_path / "l.json").write_text("\n".join(json.dumps(x) for x in ({"frag_id": "frag_1", "words": ["X", None, "Y"]}, {"frag_id": "frag_2", "words": None}, {"frag_id": "frag_3", "words": ["Z"]})))
+    lists = io.read_lists(spark, str(tmp_path / "l.json"), "json")
+    assert sorted(map(tuple, lists.collect())) == [("frag_1", 0, "X"), ("frag_1", 2, "Y"), ("frag_3", 0, "Z")]
+    assert {r.frag_id for r in io.first_fragments(lists, 1).collect()} == {"frag_1"}
+    (tmp_path / "s.json").write_text('{"pair": "WORD frag_1", "score": 0.5}\n{"pair": "broken", "score": 1.0}')
+    assert [tuple(r) for r in io.read_pair_scores(spark, str(tmp_path / "s.json")).collect()] == [("WORD", "frag_1", 0.5)]
+
+
+def test_sql_functions(spark):
+    align.register(spark)
+    row = spark.sql("select rule_covers_word('G_I_VII', 'GAIAVII') c, align_pair('RYRGSDC', 'KYRGSDC') a, score_pair('RYRGSDC', 'KYRGSDC') s, residue_match('R', 'K') m").first()
+    assert row.c and row.a.rule == "[basic]-Y-R-G-S-D-C" and row.s.score == pytest.approx(6.8) and row.m.classes == ["basic", "polar", "bulky"]
+
+
+def test_streaming(spark, tmp_path):
+    words = spark.sql("select * from values (1, 'ACD', timestamp'2024-01-01 01:00:00'), (2, 'kyr ', timestamp'2024-01-01 05:00:00'), (3, null, timestamp'2024-01-02 00:00:00') t(word_id, word, added_at)")
+    rules = spark.createDataFrame([(1, "A-x(0,2)"), (2, "[basic]-Y-R"), (3, None)], "rule_id int, rule string")
+    words.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(words.schema).parquet(str(tmp_path / "in"))
+    q = match_stream(stream, rules).writeStream.format("memory").queryName("matched").option("checkpointLocation", str(tmp_path / "c1")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.word_id: r.rule_ids for r in spark.table("matched").collect()} == {1: [1], 2: [2], 3: []}
+    q = match_counts(stream, rules).writeStream.outputMode("complete").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "c2")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.rule_id, r.n_words) for r in spark.table("counted").collect()} == {(1, 1), (2, 1)}
