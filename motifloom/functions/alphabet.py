@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +38,7 @@ BY_NAME = {c.name: c for c in CLASSES}
 EDGE_TYPES = ("same_length", "optional_indel", "containment", "internal_gap", "underscore", "mixed_semiglobal")
 
 
+@cache
 def common_class(a: str, b: str) -> int:
     """Place of the first class that holds both characters, -1 if none does."""
     return next((k for k, c in enumerate(CLASSES) if a in c.residues and b in c.residues), -1)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.operators.skew import lookup_join
-from motifloom.session import cut
+from motifloom.session import cut, spread
 
 MAX_POSTING, MIN_SCORE, MIN_LENGTH, MAX_RATIO = 300, 10, 3, 5
 
@@ -19,46 +21,46 @@ def bare(word: Column) -> Column:
     return F.replace(word, F.lit("_"), F.lit(""))
 
 
-def _places(aa: Column, width: int) -> Column:
-    """1, 2, ... of every window of ``width``, none if the word is shorter."""
-    return F.when(F.length(aa) >= width, F.sequence(F.lit(1), F.length(aa) - width + 1)).otherwise(F.array().cast("array<int>"))
-
-
-def exact_anchors(aa: Column) -> Column:
-    one = lambda k: F.transform(_places(aa, k), lambda i: F.concat(F.lit(f"exact{k}:"), F.substring(aa, i, F.lit(k))))
-    return F.concat(*[one(k) for k in (3, 4, 5)])
-
+# Label, letters on the left, letters skipped, letters on the right of the anchors that slide over a word.
+SLIDING = {"exact": [("exact3:", 3, 0, 0), ("exact4:", 4, 0, 0), ("exact5:", 5, 0, 0)], "spaced": [("spaced:", 3, gap, 3) for gap in range(5)]}
+ENDS = (3, 4, 5, 6)
 
-def prefix_suffix_anchors(aa: Column) -> Column:
-    ends = [(k, c) for k in (3, 4, 5, 6) for c in (F.concat(F.lit(f"prefix{k}:"), F.left(aa, F.lit(k))), F.concat(F.lit(f"suffix{k}:"), F.right(aa, F.lit(k))))]
-    return F.array_compact(F.array(*[F.when(F.length(aa) >= k, c) for k, c in ends]))
 
+def _sliding(words: DataFrame, specs: list[tuple[str, int, int, int]]) -> DataFrame:
+    """One row a place: places are exploded rather than transformed in arrays, which keeps the substrings in generated code."""
+    spec = F.array(*[F.struct(F.lit(t).alias("label"), F.lit(a).alias("a"), F.lit(g).alias("g"), F.lit(b).alias("b")) for t, a, g, b in specs])
+    by = words.select("word_id", bare(F.col("word")).alias("aa"), F.explode(spec).alias("s"))
+    width = F.col("s.a") + F.col("s.g") + F.col("s.b")
+    by = by.filter(F.length("aa") >= width).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("aa") - width + 1)))
+    left = F.substring("aa", F.col("i"), F.col("s.a"))
+    right = F.concat(F.lit("***"), F.substring("aa", F.col("i") + F.col("s.a") + F.col("s.g"), F.col("s.b")))
+    return by.select("word_id", F.concat("s.label", left, F.when(F.col("s.b") > 0, right).otherwise("")).alias("anchor"))
 
-def spaced_anchors(aa: Column) -> Column:
-    def one(gap: int) -> Column:
-        right = lambda i: F.substring(aa, i + 3 + gap, F.lit(3))
-        return F.transform(_places(aa, 6 + gap), lambda i: F.concat(F.lit("spaced:"), F.substring(aa, i, F.lit(3)), F.lit("***"), right(i)))
 
-    return F.concat(*[one(g) for g in range(5)])
+def _ends(words: DataFrame) -> DataFrame:
+    aa = bare(F.col("word"))
+    both = lambda k: (F.concat(F.lit(f"prefix{k}:"), F.left(aa, F.lit(k))), F.concat(F.lit(f"suffix{k}:"), F.right(aa, F.lit(k))))
+    every = F.array(*[F.when(F.length(aa) >= k, c) for k in ENDS for c in both(k)])
+    return words.select("word_id", F.explode(every).alias("anchor")).filter(F.col("anchor").isNotNull())
 
 
-def gap_anchors(word: Column) -> Column:
-    parts = F.split(word, "_")
-    at = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-    pair = lambda i: F.concat(F.lit("gap:"), F.get(parts, i - 1), F.lit("***"), F.get(parts, i))
-    return F.transform(F.filter(at, lambda i: (F.get(parts, i - 1) != "") & (F.get(parts, i) != "")), pair)
+def _gaps(words: DataFrame) -> DataFrame:
+    parts = words.filter(F.col("word").contains("_")).select("word_id", F.split("word", "_").alias("p"))
+    at = parts.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("p") - 2)))
+    left, right = F.get("p", F.col("i")), F.get("p", F.col("i") + 1)
+    return at.filter((left != "") & (right != "")).select("word_id", F.concat(F.lit("gap:"), left, F.lit("***"), right).alias("anchor"))
 
 
-KINDS = {
-    "exact": lambda w: exact_anchors(bare(w)), "prefix_suffix": lambda w: prefix_suffix_anchors(bare(w)),
-    "spaced": lambda w: spaced_anchors(bare(w)), "gap": gap_anchors,
-}
+KINDS = ("exact", "prefix_suffix", "spaced", "gap")
 
 
-def anchors(words: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+def anchors(words: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(word_id, anchor) with one row for every occurrence, so repeated anchors of a word stay repeated. Null words have none."""
-    every = F.concat(*[KINDS[k](F.col("word")) for k in kinds])
-    return words.filter(F.col("word").isNotNull()).select("word_id", F.explode(every).alias("anchor"))
+    known = words.filter(F.col("word").isNotNull()).select("word_id", "word")
+    sliding = [s for k in kinds for s in SLIDING.get(k, ())]
+    parts = [_sliding(known, sliding)] if sliding else []
+    parts += [make(known) for k, make in (("prefix_suffix", _ends), ("gap", _gaps)) if k in kinds]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def anchor_weight(anchor: Column) -> Column:
@@ -84,10 +86,12 @@ def candidate_pairs(words: DataFrame, max_posting: int | None = MAX_POSTING, min
     size = size.filter(F.col("rows") <= max_posting) if max_posting is not None else size
     kept = lookup_join(by, size.select("anchor"), "anchor", "left_semi")
     long_enough = words.select("word_id", F.length(bare(F.col("word"))).alias("len")).filter(F.col("len") >= MIN_LENGTH)
-    kept = kept.join(long_enough, "word_id")
-    x = kept.select("anchor", F.col("word_id").alias("i"), F.col("m").alias("mi"), F.col("len").alias("li"))
+    kept = kept.join(long_enough, "word_id").withColumn("w", anchor_weight(F.col("anchor")))
+    if max_posting is not None:  # anchors are small now, and their few bytes make many pairs
+        kept = spread(kept, "anchor")
+    x = kept.select("anchor", F.col("word_id").alias("i"), (F.col("m") * F.col("w")).alias("mi"), F.col("len").alias("li"))
     y = kept.select("anchor", F.col("word_id").alias("j"), F.col("m").alias("mj"), F.col("len").alias("lj"))
     ratio = F.greatest("li", "lj") <= F.least("li", "lj") * MAX_RATIO
     met = x.join(y, "anchor").filter((F.col("i") < F.col("j")) & ratio)
-    tenths = F.sum(F.col("mi") * F.col("mj") * anchor_weight(F.col("anchor")))
+    tenths = F.sum(F.col("mi") * F.col("mj"))
     return met.groupBy("i", "j").agg(tenths.cast("long").alias("tenths")).filter(F.col("tenths") >= min_tenths)
