@@ -43,7 +43,7 @@ def read_lists(spark: SparkSession, path: str, form: str = "parquet") -> DataFra
 
 def first_fragments(fw: DataFrame, n: int) -> DataFrame:
     """The words of the first n fragments in their own order; 0 takes all."""
-    return fw if n == 0 else fw.join(F.broadcast(fw.select("frag_id").distinct().orderBy("frag_id").limit(n)), "frag_id", "left_semi")
+    return fw if n == 0 else fw.join(fw.select("frag_id").distinct().orderBy("frag_id").limit(n), "frag_id", "left_semi")
 
 
 def read_pair_scores(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
@@ -68,7 +68,7 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
 
 def edges_left(pairs: DataFrame, done: DataFrame) -> DataFrame:
     """Pairs (batch_id, ...) of the batches that ``done`` (batch_id) doesn't have yet; used to go on after a broken run."""
-    return pairs.join(F.broadcast(done.select("batch_id").distinct()), "batch_id", "left_anti")
+    return pairs.join(done.select("batch_id").distinct(), "batch_id", "left_anti")
 
 
 def write_results(rules: DataFrame, summary: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from motifloom.session import local_session
 
-    s = local_session("*", 4, "4g")
+    s = local_session(4, 4, "4g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
