@@ -56,7 +56,7 @@ KINDS = ("exact", "prefix_suffix", "spaced", "gap")
 
 def anchors(words: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(word_id, anchor) with one row for every occurrence, so repeated anchors of a word stay repeated. Null words have none."""
-    known = words.filter(F.col("word").isNotNull()).select("word_id", "word")
+    known = spread(words.filter(F.col("word").isNotNull()).select("word_id", "word"))  # a word makes about a hundred anchors
     sliding = [s for k in kinds for s in SLIDING.get(k, ())]
     parts = [_sliding(known, sliding)] if sliding else []
     parts += [make(known) for k, make in (("prefix_suffix", _ends), ("gap", _gaps)) if k in kinds]
@@ -86,12 +86,13 @@ def candidate_pairs(words: DataFrame, max_posting: int | None = MAX_POSTING, min
     size = size.filter(F.col("rows") <= max_posting) if max_posting is not None else size
     kept = lookup_join(by, size.select("anchor"), "anchor", "left_semi")
     long_enough = words.select("word_id", F.length(bare(F.col("word"))).alias("len")).filter(F.col("len") >= MIN_LENGTH)
-    kept = kept.join(long_enough, "word_id").withColumn("w", anchor_weight(F.col("anchor")))
+    kept = kept.join(long_enough, "word_id").withColumns({"w": anchor_weight(F.col("anchor")), "h": F.xxhash64("anchor")})
     if max_posting is not None:  # anchors are small now, and their few bytes make many pairs
-        kept = spread(kept, "anchor")
-    x = kept.select("anchor", F.col("word_id").alias("i"), (F.col("m") * F.col("w")).alias("mi"), F.col("len").alias("li"))
-    y = kept.select("anchor", F.col("word_id").alias("j"), F.col("m").alias("mj"), F.col("len").alias("lj"))
+        kept = spread(kept, "h", "anchor")
+    x = kept.select("h", "anchor", F.col("word_id").alias("i"), (F.col("m") * F.col("w")).alias("mi"), F.col("len").alias("li"))
+    y = kept.select("h", "anchor", F.col("word_id").alias("j"), F.col("m").alias("mj"), F.col("len").alias("lj"))
     ratio = F.greatest("li", "lj") <= F.least("li", "lj") * MAX_RATIO
-    met = x.join(y, "anchor").filter((F.col("i") < F.col("j")) & ratio)
+    met = x.join(y, ["h", "anchor"])  # anchors begin alike, so sorting by their hash first is faster
+    met = met.filter((F.col("i") < F.col("j")) & ratio)
     tenths = F.sum(F.col("mi") * F.col("mj"))
     return met.groupBy("i", "j").agg(tenths.cast("long").alias("tenths")).filter(F.col("tenths") >= min_tenths)

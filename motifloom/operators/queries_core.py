@@ -293,6 +293,19 @@ def q_exact_rules(spark, d):
     return pairs(spark, d).select("frag_id", "word_id").join(covered, ["frag_id", "word_id"], "left_anti")
 
 
+@query(f"""with {_COVER}, ps as (select upper(trim(word)) word, lower(trim(frag_id)) frag_id, avg(score) score from pair_scores
+  where word is not null and frag_id is not null and score is not null and not isnan(score) and score between 0 and 1 group by 1, 2)
+select frag_id, rule_id, count(*) n_words, count(score) n_scored, round(avg(score), 9) mean_pair_score
+from sel join fh using (frag_id, rule_id) join w using (word_id) left join ps using (frag_id, word) group by 1, 2""")
+def q_mean_pair_score(spark, d):
+    """Mean of the pair scores of the words that each chosen rule matches; null where none of them has a score."""
+    chosen, found, _ = _selected(spark, d)
+    matched = found.join(chosen.select("frag_id", "rule_id"), ["frag_id", "rule_id"], "left_semi")
+    named = lookup_join(matched, words(spark, d), "word_id")
+    scored = named.join(W.clean_pair_scores(read(spark, d, "pair_scores")), ["frag_id", "word"], "left")
+    return scored.groupBy("frag_id", "rule_id").agg(F.count(F.lit(1)).alias("n_words"), F.count("score").alias("n_scored"), F.round(F.avg("score"), 9).alias("mean_pair_score"))
+
+
 K_NEG = 1000
 _NEG = f"""{_FW}, h as (select frag_id, word, md5(concat_ws('|', '42', frag_id, word, cast(ord as varchar))) h, ord from fw),
 fr as (select distinct frag_id from fw), pre as (select * from h order by h, frag_id, ord limit 20000),
