@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,21 +45,19 @@ def rule_hits(rules: DataFrame, words: DataFrame, group: str, tile: int = TILE)
 
 
 def negative_prefix(fw: DataFrame, k: int, seed: str = "42") -> list[tuple[str, str]]:
-    """(frag_id, word) of the rows with the smallest keyed hashes, in order: long enough to hold k rows of other fragments for each fragment.
+    """(frag_id, word) of the rows with the smallest keyed hashes, in order, that hold the first k rows of other fragments for each fragment.
 
-    Every row (frag_id, ord, word) is hashed once, whatever fragment asks. The prefix starts with 2 k rows and is doubled until no
-    fragment holds so much of it that fewer than k are left, or all rows are in it. With a third of all rows in one fragment, 2 k
-    rows do; a fragment with the share s needs about k / (1 - s).
+    Every row (frag_id, ord, word) is hashed once, whatever fragment asks. The first 2 k rows do for all fragments but one that holds more
+    than k of them; for that one the first k rows of all others are added. So 3 k rows come to the driver at most, however skewed the table is.
     """
-    total = fw.count()
     digest = F.md5(F.concat_ws("|", F.lit(seed), "frag_id", "word", F.col("ord").cast("string")))
-    size = 2 * k
-    while True:
-        prefix = [(r[0], r[1]) for r in fw.select("frag_id", "word", digest.alias("h"), "ord").orderBy("h", "frag_id", "ord").limit(size).collect()]
-        own = pd.Series([f for f, _ in prefix]).value_counts().max() if prefix else 0
-        if len(prefix) - own >= k or size >= total:
-            return prefix
-        size *= 2
+    rows = fw.select(digest.alias("h"), "frag_id", "ord", "word")
+    first = lambda df, n: [tuple(r) for r in df.orderBy("h", "frag_id", "ord").limit(n).collect()]
+    prefix = first(rows, 2 * k)
+    frag, own = Counter(r[1] for r in prefix).most_common(1)[0] if prefix else (None, 0)
+    if own > k:
+        prefix = sorted({*prefix, *first(rows.filter(F.col("frag_id") != frag), k)})
+    return [(r[1], r[3]) for r in prefix]
 
 
 def negative_hits(rules: DataFrame, prefix: list[tuple[str, str]], k: int) -> DataFrame:

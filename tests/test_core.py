@@ -216,6 +216,19 @@ def test_mining_goldens_and_nothing(spark):
     assert rules.collect() == [] == summary.collect() and run_totals(summary).first().n_fragments == 0
 
 
+def test_negative_prefix_holds_enough_for_every_fragment(spark):
+    import hashlib
+
+    lists = {"frag_a": [f"A{k}" for k in range(200)], "frag_b": ["B", "B", "C"], "frag_c": [f"C{k}" for k in range(30)]}
+    for some in (lists, {"frag_a": lists["frag_a"]}, {}):
+        digest = lambda f, o, w: hashlib.md5(f"42|{f}|{w}|{o}".encode()).hexdigest()
+        order = sorted((digest(f, o, w), f, o, w) for f, ws in some.items() for o, w in enumerate(ws))
+        prefix = negative_prefix(_fw(spark, some), 10)
+        assert len(prefix) <= 30
+        for f in some:
+            assert [w for g, w in prefix if g != f][:10] == [w for _, g, _, w in order if g != f][:10]
+
+
 def test_rule_tiles(spark):
     ws = _family(40, 9)
     words = spark.createDataFrame([("g", k, w) for k, w in enumerate(ws)], "grp string, ord long, word string")
