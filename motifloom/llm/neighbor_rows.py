@@ -11,11 +11,11 @@ SLICE = 1 << 18
 
 
 def slice_owner(positions: DataFrame, word_ptr: DataFrame, pos: str = "edge_pos", width: int = SLICE) -> DataFrame:
-    """Add word_id to positions: the word whose slice of the flat arrays holds ``pos``.
+    """positions with word_id (a column of that name is replaced): the word whose slice of the flat arrays holds ``pos``.
 
     An as-of lookup in buckets of ``width`` places: inside a bucket a window carries the last start forward, and what a bucket
     inherits is found on one row a bucket. Of words with the same start only the last has a slice that isn't empty. Positions
-    before the first start get null.
+    before the first start get null, rows of word_ptr with a null are ignored.
     """
     ptr = word_ptr.select(F.col("word_id").alias("_w"), F.col("indptr").alias("_p")).dropna()
     starts = ptr.groupBy("_p").agg(F.max("_w").alias("_w")).withColumn("_b", F.floor(F.col("_p") / width))
@@ -24,7 +24,7 @@ def slice_owner(positions: DataFrame, word_ptr: DataFrame, pos: str = "edge_pos"
     every = each.unionByName(asked.select("_b").distinct().withColumn("_last", F.lit(None).cast("int"))).groupBy("_b").agg(F.max("_last").alias("_last"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each width places
     inherited = every.select("_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    names = positions.columns
+    names = [c for c in positions.columns if c != "word_id"]
     rows = asked.select("_b", F.col(pos).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_w"), F.struct(*names).alias("_row"))
     marks = starts.select("_b", F.col("_p").alias("_at"), F.lit(0).alias("_kind"), "_w", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
     upto = Window.partitionBy("_b").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)

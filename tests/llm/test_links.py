@@ -60,7 +60,7 @@ def test_slice_owner(spark):
     ptr = [(0, 0), (1, 3), (2, 3), (3, 700), (4, None), (None, 5), (5, 2000)]
     pos = [0, 2, 3, 699, 700, 1999, 2000, 10_000, -1]
     p = spark.createDataFrame(ptr, "word_id int, indptr long")
-    e = spark.createDataFrame([(x, f"r{x}") for x in pos], "edge_pos long, more string")
+    e = spark.createDataFrame([(x, f"r{x}", 77) for x in pos], "edge_pos long, more string, word_id int")
     for width in (4, 1 << 18):
         got = {r.edge_pos: r.word_id for r in slice_owner(e, p, width=width).collect()}
         assert got == {0: 0, 2: 0, 3: 2, 699: 2, 700: 3, 1999: 3, 2000: 5, 10_000: 5, -1: None}
