@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     g.add_argument("--output", required=True)
     g.add_argument("--topk", type=int, default=100)
     g.add_argument("--score-threshold", type=float, default=3.0)
-    g.add_argument("--max-posting", type=int, default=300)
+    g.add_argument("--max-posting", type=int, default=300, help="0 takes all anchors")
     i = sub.add_parser("inspect")
     i.add_argument("--graph", required=True)
     i.add_argument("--words", required=True)
@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> None:
         io.write_results(rules, summary, a.output)
         run_totals(summary).show(truncate=False)
     elif a.what == "graph":
-        graph = build_graph(clean_words(spark.read.parquet(a.input)), a.topk, a.score_threshold, a.max_posting)
+        graph = build_graph(clean_words(spark.read.parquet(a.input)), a.topk, a.score_threshold, a.max_posting or None)
         io.write_graph(graph, a.output)
         graph.summary.show(truncate=False)
     else:

@@ -170,6 +170,18 @@ def q_candidates(spark, d):
     return N.candidate_pairs(words(spark, d))
 
 
+_CAND_ALL = f"""{_ALL}, m as (select anchor, word_id, count(*) m, {_WEIGHT} wt from anc group by 1, 2), l as (select word_id, length(aa) len from a)
+select x.word_id i, y.word_id j, cast(sum(x.m * y.m * x.wt) as bigint) tenths from m x join m y on x.anchor = y.anchor and x.word_id < y.word_id
+join l p on p.word_id = x.word_id join l q on q.word_id = y.word_id
+where least(p.len, q.len) >= 3 and greatest(p.len, q.len) <= 5 * least(p.len, q.len) group by 1, 2 having sum(x.m * y.m * x.wt) >= 10"""
+
+
+@query(f"with {_CAND_ALL}")
+def q_candidates_all(spark, d):
+    """Candidate pairs of all anchors; q_candidates leaves out the reference's stop anchors."""
+    return N.candidate_pairs(words(spark, d), None)
+
+
 # ---- alignments of the linked words (rows are checked in tests against one cell at a time) ------------------------------------------
 
 

@@ -41,5 +41,10 @@ def q_build_graph(spark, d):
     return build_graph(words(spark, d)).neighbors.withColumn("score", F.round(F.col("score").cast("double"), 4))
 
 
-QUERIES = {f.__name__: f for f in (q_fragment_edges, q_mine_part_words, q_mine_rules, q_mine_summary, q_run_totals, q_build_graph)}
+def q_build_graph_all(spark, d):
+    """The graph from all anchors; q_build_graph leaves out the reference's stop anchors."""
+    return build_graph(words(spark, d), max_posting=None).neighbors.withColumn("score", F.round(F.col("score").cast("double"), 4))
+
+
+QUERIES = {f.__name__: f for f in (q_fragment_edges, q_mine_part_words, q_mine_rules, q_mine_summary, q_run_totals, q_build_graph, q_build_graph_all)}
 SQL: dict[str, str] = {}

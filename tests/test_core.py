@@ -113,6 +113,28 @@ def test_candidates_equal_brute_force(spark):
         assert {tuple(r) for r in anchors.candidate_pairs(df, cap).collect()} == want and want
 
 
+def test_candidates_of_hot_anchors(spark, tmp_path):
+    from motifloom.operators.queries_core import QUERIES
+    from motifloom.plans.queries_plans import QUERIES as PLANS
+
+    random.seed(8)
+    ws = sorted({"WWWW" + "".join(random.choice("ACDEFGHIKLMNP") for _ in range(6)) for _ in range(310)})  # WWW and WWWW are anchors of all
+    df = spark.createDataFrame(list(enumerate(ws)), "word_id int, word string")
+    whole = {tuple(r) for r in anchors.candidate_pairs(df, None, split=1000).collect()}
+    tiled = [tuple(r) for r in anchors.candidate_pairs(df, None, split=20).collect()]
+    assert len(tiled) == len(whole) and set(tiled) == whole
+    df.write.parquet(str(tmp_path / "words.parquet"))
+    run = lambda q: [tuple(r) for r in QUERIES[q](spark, str(tmp_path)).collect()]
+    capped, every = run("q_candidates"), run("q_candidates_all")
+    score = defaultdict(int)
+    for key, ids in itertools.groupby(sorted((r.anchor, r.word_id) for r in anchors.anchors(df).collect()), lambda x: x[0]):
+        for (_, a), (_, b) in itertools.combinations(list(ids), 2):
+            if a != b:
+                score[a, b] += anchors.WEIGHTS.get(key.split(":")[0], anchors.OTHER_WEIGHT)
+    assert set(every) == whole == {(a, b, s) for (a, b), s in score.items() if s >= 10} and len(every) > len(capped)
+    assert PLANS["q_build_graph_all"](spark, str(tmp_path)).count() >= PLANS["q_build_graph"](spark, str(tmp_path)).count()
+
+
 # ---- matching and mining ----
 
 
