@@ -74,7 +74,7 @@ def inspect_words(neighbors: DataFrame, words: DataFrame, rules: DataFrame, top:
 
 
 def inspect_fragments(pairs: DataFrame, degree: DataFrame) -> DataFrame:
-    """(frag_id, num_words, num_linked, num_edges, coverage_bound) of every fragment; edges count all neighbours of its words."""
+    """(frag_id, num_words, num_linked, num_edges, coverage_bound) of every fragment; edges count its words' neighbours in ``degree``."""
     rows = lookup_join(pairs.select("frag_id", "word_id"), degree.select("word_id", "degree"), "word_id", "left")
     rows = rows.withColumn("degree", F.coalesce("degree", F.lit(0)))
     out = rows.groupBy("frag_id").agg(

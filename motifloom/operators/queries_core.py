@@ -363,6 +363,7 @@ e as (select i, j, max(score) score, max_by(edge_type, struct_pack(s := score, t
 s as (select i, j, score, edge_type from e union all select j, i, score, edge_type from e)"""
 K_TOP = 10
 _TOP = f"{_E}, top as (select *, row_number() over (partition by i order by score desc, j) rank from s qualify rank <= {K_TOP})"
+_DEG_ALL = f"{_E}, ids as (select distinct word_id from words where word_id is not null), dg as (select word_id, count(i) degree from ids left join s on i = word_id group by 1)"
 _DEG = f"{_TOP}, ids as (select distinct word_id from words where word_id is not null), dg as (select word_id, count(i) degree from ids left join top on i = word_id group by 1)"
 
 
@@ -375,6 +376,10 @@ def _degrees(spark, d):
     return G.degrees(read(spark, d, "words"), top)
 
 
+def _all_degrees(spark, d):
+    return G.degrees(read(spark, d, "words"), G.both_directions(_edges(spark, d)))
+
+
 @query(f"with {_E} select i, j, cast(score as double) score, edge_type from s")
 def q_symmetrise(spark, d):
     return G.both_directions(_edges(spark, d)).withColumn("score", F.col("score").cast("double"))
@@ -387,9 +392,16 @@ def q_topk(spark, d):
 
 @query(f"with {_DEG} select word_id, degree, cast(sum(degree) over (order by word_id) - degree as bigint) indptr from dg")
 def q_csr(spark, d):
+    """CSR offsets of the table of q_topk, with its K_TOP neighbours a word."""
     return _degrees(spark, d)
 
 
+@query(f"with {_DEG_ALL} select word_id, degree, cast(sum(degree) over (order by word_id) - degree as bigint) indptr from dg")
+def q_csr_all(spark, d):
+    """CSR offsets of all neighbours."""
+    return _all_degrees(spark, d)
+
+
 @query(f"with {_DEG} select count(*) n_words, cast(count(*) filter (degree > 0) as bigint) n_linked, count(*) filter (degree > 0) / count(*) coverage from dg")
 def q_graph_coverage(spark, d):
     return G.graph_coverage(_degrees(spark, d))
@@ -419,9 +431,17 @@ def q_inspect_word(spark, d):
 @query(f"""with {_DEG}, {_P} select frag_id, count(*) num_words, cast(count(*) filter (degree > 0) as bigint) num_linked, cast(coalesce(sum(degree), 0) as bigint) num_edges,
 count(*) filter (degree > 0) / count(*) coverage_bound from p left join dg using (word_id) group by 1""")
 def q_inspect_fragment(spark, d):
+    """Fragments over the table of q_topk: num_edges counts K_TOP neighbours of a word at most."""
     return G.inspect_fragments(pairs(spark, d), _degrees(spark, d))
 
 
+@query(f"""with {_DEG_ALL}, {_P} select frag_id, count(*) num_words, cast(count(*) filter (degree > 0) as bigint) num_linked, cast(coalesce(sum(degree), 0) as bigint) num_edges,
+count(*) filter (degree > 0) / count(*) coverage_bound from p left join dg using (word_id) group by 1""")
+def q_inspect_fragment_all(spark, d):
+    """Fragments with all neighbours of their words."""
+    return G.inspect_fragments(pairs(spark, d), _all_degrees(spark, d))
+
+
 @query(f"with {_E}, {_P} select x.frag_id, count(*) n_induced from e join p x on x.word_id = e.i join p y on y.word_id = e.j and y.frag_id = x.frag_id group by 1")
 def q_induced_edges(spark, d):
     return G.induced_edges(pairs(spark, d), _edges(spark, d))

@@ -291,6 +291,20 @@ def test_graph(spark, tmp_path):
     assert empty.neighbors.collect() == [] and empty.summary.first().num_verified_edges == 0
 
 
+def test_all_neighbours_count(spark, tmp_path):
+    from motifloom.operators.queries_core import QUERIES
+
+    n = 24
+    spark.range(n + 1).selectExpr("cast(id as int) word_id", "'AC' word").write.parquet(str(tmp_path / "words.parquet"))
+    rows = [(k, 0, k + 1, 1.0 + k, 0) for k in range(n)]
+    spark.createDataFrame(rows, "edge_pos long, word_id int, neighbor_id int, score float, edge_type byte").write.parquet(str(tmp_path / "neighbors.parquet"))
+    spark.createDataFrame([(0, 0)], "word_id int, indptr long").write.parquet(str(tmp_path / "word_ptr.parquet"))
+    spark.createDataFrame([(0, "F", 0), (1, "f", 1), (2, "g", 0)], "word_id int, frag_id string, pos int").write.parquet(str(tmp_path / "word_frags.parquet"))
+    run = lambda q: {tuple(r) for r in QUERIES[q](spark, str(tmp_path)).collect()}
+    assert run("q_csr_all") == {(0, n, 0)} | {(k, 1, n + k - 1) for k in range(1, n + 1)}
+    assert run("q_inspect_fragment_all") == {("f", 2, 2, n + 1, 1.0), ("g", 1, 1, 1, 1.0)}
+
+
 def test_undirected_drops_what_is_no_link(spark):
     rows = [(1, 2, 3.0, 0), (2, 1, 4.0, 1), (1, -1, 9.0, 0), (1, 1, 9.0, 0), (None, 2, 9.0, 0), (3, 1, float("nan"), 0), (3, None, 1.0, 0), (4, 1, None, 0)]
     df = spark.createDataFrame(rows, "word_id int, neighbor_id int, score float, edge_type byte")
