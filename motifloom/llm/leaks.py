@@ -1,12 +1,14 @@
 """Evaluation texts leaking into training text (problem 9): CGK random-walk embedding, bit-sampling LSH, exact edit verification.
 
-Every window of ``width`` words of an item is a query. A random walk copies a window into 3 * width places: after every place
+Every window of ``width`` words of an item is a query; windows of a document have up to ``max_edits`` words less or more, since a dropped or
+inserted word changes the length. A random walk copies a window into 3 * width places: after every place
 it moves on in the window or stays, as a hash of (place, word) tells, the same for all windows. Windows with few word edits then
 differ in few places. In each of ``rounds`` rounds, with a walk of its own, a sample of the places is hashed; windows of documents and items
 that agree in a round are candidates, and the edit distance of each candidate is computed exactly.
 
 A document window with more than ``max_edits`` words that no item has is farther than ``max_edits`` from every item window and is
-left out before the embedding; this loses nothing.
+left out before the embedding; this loses nothing. Nor does leaving out runs that hold no piece of an item: ``max_edits`` edits leave
+one of the pieces of ceil((width - max_edits) / (max_edits + 1)) words or more as it was.
 """
 
 from __future__ import annotations
@@ -23,36 +25,48 @@ from motifloom.llm.mail import units
 from motifloom.session import read
 
 WIDTH, MAX_EDITS = 12, 1
-ROUNDS, SAMPLED = 10, 5
+ROUNDS, SAMPLED = 20, 5
 QUERY_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
 _WORD_OR_END = re.compile(r"[^\W_]+|\0")
 
 
-def cgk_embed(windows: np.ndarray, seed: int) -> np.ndarray:
-    """The embedding of each row of word codes (1 and up, 0 for a word no item has); places past the end hold -1."""
+def _walk(windows: np.ndarray, seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, at): for each of ``size`` places of the embedding its word, -1 past the end, and where in the window it stands."""
     n, width = windows.shape
-    out = np.full((n, 3 * width), -1, dtype=np.int64)
+    out, where = np.full((size, n), -1, dtype=np.int64), np.zeros((size, n), dtype=np.int64)
     at, row = np.zeros(n, dtype=np.int64), np.arange(n)
-    for j in range(3 * width):
+    for j in range(size):
         inside = at < width
         word = np.where(inside, windows[row, np.minimum(at, width - 1)], -1)
-        out[:, j] = word
+        out[j], where[j] = word, at
         step = mix(word.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 1_000_003 + j + 1)) & U64(1)
         at += step.astype(np.int64) * inside
-    return out
+    return out, where
+
+
+def cgk_embed(windows: np.ndarray, seed: int) -> np.ndarray:
+    """The embedding of each row of word codes (1 and up, 0 for a word no item has); places past the end hold -1."""
+    return _walk(windows, seed, 3 * windows.shape[1])[0].T
 
 
 def signatures(windows: np.ndarray, rounds: int = ROUNDS, sampled: int = SAMPLED) -> np.ndarray:
     """One 64-bit key for each window and round, from ``sampled`` places of the round's embedding."""
-    keys = np.zeros((len(windows), rounds), dtype=U64)
+    return span_signatures(windows, windows.shape[1], (windows.shape[1],), rounds, sampled)[0]
+
+
+def span_signatures(windows: np.ndarray, width: int, lengths: tuple[int, ...], rounds: int = ROUNDS, sampled: int = SAMPLED) -> np.ndarray:
+    """For each of ``lengths`` the signatures of the first so many codes of every row, to be compared with those of windows of ``width``
+    codes. Up to its end a shorter window walks as a longer one does, so one walk serves all lengths."""
+    keys = np.zeros((len(lengths), len(windows), rounds), dtype=U64)
     for r in range(rounds):
-        places = np.random.default_rng(1000 + r).choice(2 * windows.shape[1], sampled, replace=False)  # later places are mostly past the end
-        embedded = cgk_embed(windows, r)
-        key = np.full(len(windows), r + 1, dtype=U64)
-        for p in places:
-            key = mix(key * U64(31) + embedded[:, p].astype(U64))
-        keys[:, r] = key
+        places = np.random.default_rng(1000 + r).choice(2 * width, sampled, replace=False)  # later places are mostly past the end
+        word, at = _walk(windows, r, int(places.max()) + 1)
+        for k, length in enumerate(lengths):
+            key = np.full(len(windows), r + 1, dtype=U64)
+            for p in places:
+                key = mix(key * U64(31) + np.where(at[p] < length, word[p], -1).astype(U64))
+            keys[k, :, r] = key
     return keys.view(np.int64)
 
 
@@ -70,6 +84,23 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return last[:, -1]
 
 
+def _within(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """``edit_distance`` where it is ``most`` or less, else some larger number: only cells at most ``most`` off the diagonal count."""
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    far = np.full(a.shape[1], most + 1, dtype=np.int64)
+    last = {j: np.full(a.shape[1], j) for j in range(min(most, len(b)) + 1)}
+    for i in range(len(a)):
+        now = {}
+        for j in range(max(0, i + 1 - most), min(len(b), i + 1 + most) + 1):
+            if j == 0:
+                now[j] = np.full(a.shape[1], i + 1)
+                continue
+            differ = (a[i] != b[j - 1]) | (a[i] == 0)
+            now[j] = np.minimum(np.minimum(last.get(j, far), now.get(j - 1, far)) + 1, last.get(j - 1, far) + differ)
+        last = now
+    return last.get(len(b), far)
+
+
 def _windows_of(codes: np.ndarray, width: int, max_unknown: int) -> np.ndarray:
     """Starts of the windows of ``width`` codes without an end (-1) and with at most ``max_unknown`` unknown words (0)."""
     if len(codes) < width:
@@ -79,10 +110,19 @@ def _windows_of(codes: np.ndarray, width: int, max_unknown: int) -> np.ndarray:
     return np.flatnonzero((inside(unknown) <= max_unknown) & (inside(end) == 0))
 
 
+def _pieces(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` codes that follow each other in the last dimension."""
+    n = codes.shape[-1] - size + 1
+    key = np.zeros((*codes.shape[:-1], max(0, n)), dtype=U64)
+    for k in range(size if n > 0 else 0):
+        key = mix(key * U64(31) + codes[..., k : k + n].astype(U64))
+    return key
+
+
 class ItemIndex:
     """The windows of a part of the query set: their word codes, and for each signature the windows that have it."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]], width: int, rounds: int, sampled: int) -> None:
+    def __init__(self, rows: list[tuple[int, list[str]]], width: int, rounds: int, sampled: int, max_edits: int = MAX_EDITS) -> None:
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in rows for w in ws}))}
         of: dict[tuple[int, ...], set[int]] = {}
         for item, words in rows:
@@ -90,6 +130,8 @@ class ItemIndex:
             for i in range(len(codes) - width + 1):
                 of.setdefault(tuple(codes[i : i + width]), set()).add(item)
         self.windows = np.array(list(of), dtype=np.int32).reshape(-1, width)
+        self.piece = max(1, -(-(width - max_edits) // (max_edits + 1)))
+        self.pieces = np.unique(_pieces(self.windows.astype(np.int64), self.piece))
         self.items = np.array([x for s in of.values() for x in sorted(s)], dtype=np.int64)
         self.first_item = np.concatenate([[0], np.cumsum([len(s) for s in of.values()])]).astype(np.int64)
         keys = signatures(self.windows.astype(np.int64), rounds, sampled).ravel()
@@ -107,6 +149,8 @@ class ItemIndex:
 
 
 def _leaks_in(index, width: int, max_edits: int, rounds: int, sampled: int, piece: int = 512):
+    lengths = tuple(range(max(1, width - max_edits), width + max_edits + 1))
+
     def run(batches):
         known = index.value
         get = known.vocabulary.get
@@ -121,15 +165,23 @@ def _leaks_in(index, width: int, max_edits: int, rounds: int, sampled: int, piec
                 if not texts:
                     continue
                 codes = np.array([get(w, 0) if w != "\0" else -1 for w in _WORD_OR_END.findall("\0".join(texts).lower())], dtype=np.int64)
-                starts = _windows_of(codes, width, max_edits)
+                starts = _windows_of(codes, lengths[0], max_edits)  # a longer window without too many unknown words begins with one of these
+                held = np.concatenate([[0], np.cumsum(np.isin(_pieces(codes, known.piece), known.pieces))])
+                upto = np.minimum(starts + lengths[-1] - known.piece + 1, len(held) - 1)
+                starts = starts[held[upto] > held[starts]]
                 if not len(starts):
                     continue
                 unit = np.cumsum(codes == -1)
-                windows = np.lib.stride_tricks.sliding_window_view(codes, width)[starts]
-                row, win = known.candidates(signatures(windows, rounds, sampled))
-                edits = edit_distance(windows[row], known.windows[win].astype(np.int64))
-                near = edits <= max_edits
-                row, win, edits = row[near], win[near], edits[near]
+                after = np.full(lengths[-1] - lengths[0], -1, dtype=np.int64)
+                windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([codes, after]), lengths[-1])[starts]
+                parts = []
+                for length, keys in zip(lengths, span_signatures(windows, width, lengths, rounds, sampled)):
+                    fit = np.flatnonzero(np.isin(starts, _windows_of(codes, length, max_edits)))
+                    row, win = known.candidates(keys[fit])
+                    edits = _within(windows[fit[row], :length], known.windows[win].astype(np.int64), max_edits)
+                    near = edits <= max_edits
+                    parts.append((fit[row[near]], win[near], edits[near]))
+                row, win, edits = (np.concatenate(x) for x in zip(*parts))
                 n_items = np.diff(known.first_item)[win]
                 before = np.repeat(known.first_item[win] - np.concatenate([[0], np.cumsum(n_items)[:-1]]), n_items)
                 item = known.items[before + np.arange(n_items.sum())]
@@ -149,8 +201,9 @@ def leaked_items(
     docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, width: int = WIDTH, max_edits: int = MAX_EDITS,
     rounds: int = ROUNDS, sampled: int = SAMPLED, query_words: int = QUERY_WORDS,
 ) -> DataFrame:
-    """(id, item, edits): documents with a window of ``width`` words within ``max_edits`` word edits of a window of an item; edits is
-    the least distance found. Windows at distance 0 are found for certain, others with the probability that a round agrees.
+    """(id, item, edits): documents with a run of words within ``max_edits`` word edits of a window of ``width`` words of an item; edits is
+    the least distance found. Such a run has width - max_edits to width + max_edits words, and all these lengths are probed. Runs at
+    distance 0 are found for certain, others with the probability that a round agrees.
 
     Words are runs of letters and digits, compared in lower case, inside one block or one decoded base64 part. Null ids or texts
     and texts of fewer than ``width`` words have no rows; repeated rows of an item count once. item_id is a whole number. The items
@@ -166,20 +219,20 @@ def leaked_items(
     for r in range(runs):
         mine = queries.filter(F.pmod(F.xxhash64("item"), F.lit(runs)) == r) if runs > 1 else queries
         rows = [(x["item"], _WORD.findall(x["t"].lower())) for x in mine.toLocalIterator()]
-        index = spark.sparkContext.broadcast(ItemIndex(rows, width, rounds, sampled))
+        index = spark.sparkContext.broadcast(ItemIndex(rows, width, rounds, sampled, max_edits))
         kind = corpus.schema["id"].dataType.simpleString()
         near = corpus.mapInArrow(_leaks_in(index, width, max_edits, rounds, sampled), f"id {kind}, item long, edits int")
         found = near if found is None else found.unionByName(near)
     return found.groupBy("id", "item").agg(F.min("edits").alias("edits"))
 
 
-def _leaks(spark, sf_dir):
+def _leaks(spark, sf_dir, **how):
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")
-    return leaked_items(docs, "doc_id", "text", items, "item_id", "text").withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+    return leaked_items(docs, "doc_id", "text", items, "item_id", "text", **how).withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
 def p9_found(spark, sf_dir):
-    return _leaks(spark, sf_dir).filter(F.col("edits") == 0).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir, max_edits=0, rounds=1).select("doc_id", "item_id")  # equal windows agree in every round
 
 
 def p9_near(spark, sf_dir):

@@ -147,6 +147,35 @@ def test_leaks(spark):
     assert leaked_items(d.limit(0), "id", "text", i, "item_id", "t").collect() == [] == leaked_items(d, "id", "text", i.limit(0), "item_id", "t").collect()
 
 
+def test_leaks_by_inserted_and_dropped_words(spark):
+    item = _words(16, 21)
+    docs, want = [], {}
+    for p in range(1, 11):  # at every inner place of a 12-word passage, between other words
+        head, tail = _words(9, 100 + p), _words(9, 200 + p)
+        for k, edited in enumerate((item[2 : 2 + p] + ["other"] + item[2 + p : 14], item[2 : 2 + p] + item[3 + p : 14], item[2 : 2 + p] + ["other"] + item[3 + p : 14])):
+            docs.append((10 * p + k, "From: x\n\n" + " ".join(head + edited + tail)))
+        docs.append((10 * p + 3, "From: x\n\n" + " ".join(head + item[2 : 2 + p] + ["other", "words"] + item[2 + p : 14] + tail)))
+    index = [tuple(item[k : k + 12]) for k in range(5)]
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            now = [i + 1]
+            for j, y in enumerate(b):
+                now.append(min(last[j + 1] + 1, now[j] + 1, last[j] + (x != y)))
+            last = now
+        return last[-1]
+
+    for k, text in docs:
+        ws = text.split("\n\n")[1].split()
+        least = min(distance(ws[i : i + n], w) for n in (11, 12, 13) for i in range(len(ws) - n + 1) for w in index)
+        if least <= 1:
+            want[k] = least
+    d, i = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, t string")
+    got = {r.id: r.edits for r in leaked_items(d, "id", "text", i, "item_id", "t").collect()}
+    assert got == want and {10 * p + k for p in range(1, 11) for k in range(3)} <= set(want)
+
+
 def test_index_finds_edited_windows():
     vocab = _words(500, 3)
     rows = [(k, [vocab[(k * 13 + j * 7) % 500] for j in range(40)]) for k in range(20)]
