@@ -13,6 +13,7 @@ from motifloom.operators import graph as G
 from motifloom.operators import words as W
 from motifloom.operators.align import align_pairs, score_pairs
 from motifloom.operators.matching import greedy_matching
+from motifloom.operators.neighbor_rows import owned_neighbors
 from motifloom.operators.skew import lookup_join
 from motifloom.session import cut, read
 
@@ -186,7 +187,7 @@ def q_candidates_all(spark, d):
 
 
 def _linked(spark, d):
-    edges = cut(G.undirected(read(spark, d, "neighbors")).select("i", "j"))
+    edges = cut(G.undirected(owned_neighbors(spark, d)).select("i", "j"))
     w = words(spark, d)
     one = lookup_join(edges, w.select(F.col("word_id").alias("i"), F.col("word").alias("wi")), "i")
     return lookup_join(one, w.select(F.col("word_id").alias("j"), F.col("word").alias("wj")), "j")

@@ -305,6 +305,17 @@ def test_all_neighbours_count(spark, tmp_path):
     assert run("q_inspect_fragment_all") == {("f", 2, 2, n + 1, 1.0), ("g", 1, 1, 1, 1.0)}
 
 
+def test_linked_words_of_rows_without_a_word(spark, tmp_path):
+    from motifloom.operators.queries_core import QUERIES
+
+    spark.createDataFrame([(0, "RYRGSDC"), (1, "KYRGSDC"), (2, "HYRGSDC")], "word_id int, word string").write.parquet(str(tmp_path / "words.parquet"))
+    rows = [(0, 0, 1, 3.0, 0), (1, None, 2, 3.0, 0), (None, None, 2, 3.0, 0)]
+    spark.createDataFrame(rows, "edge_pos long, word_id int, neighbor_id int, score float, edge_type byte").write.parquet(str(tmp_path / "neighbors.parquet"))
+    spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "word_id int, indptr long").write.parquet(str(tmp_path / "word_ptr.parquet"))
+    for q in ("q_align_rule", "q_score_pairs"):
+        assert {(r.i, r.j) for r in QUERIES[q](spark, str(tmp_path)).collect()} == {(0, 1), (1, 2)}
+
+
 def test_undirected_drops_what_is_no_link(spark):
     rows = [(1, 2, 3.0, 0), (2, 1, 4.0, 1), (1, -1, 9.0, 0), (1, 1, 9.0, 0), (None, 2, 9.0, 0), (3, 1, float("nan"), 0), (3, None, 1.0, 0), (4, 1, None, 0)]
     df = spark.createDataFrame(rows, "word_id int, neighbor_id int, score float, edge_type byte")
