@@ -64,9 +64,10 @@ def graph_coverage(degree: DataFrame) -> DataFrame:
 def inspect_words(neighbors: DataFrame, words: DataFrame, rules: DataFrame, top: int = 20) -> DataFrame:
     """(word_id, rank, neighbor_id, neighbour, score, rule, edge_type_name): the first ``top`` listed neighbours of every word, by name.
 
-    A row delivered again is one; unknown neighbours and rules stay with a null name."""
+    A row delivered again is one; unknown neighbours and rules stay with a null name, a NaN score is none."""
+    score = F.when(~F.isnan("score"), F.col("score"))
     rows = neighbors.filter(F.col("word_id").isNotNull() & (F.col("rank") <= top)).groupBy("word_id", "rank", "edge_pos").agg(
-        F.max("neighbor_id").alias("neighbor_id"), F.max("score").alias("score"), F.max("rule_id").alias("rule_id"), F.max("edge_type").alias("edge_type")
+        F.max("neighbor_id").alias("neighbor_id"), F.max(score).alias("score"), F.max("rule_id").alias("rule_id"), F.max("edge_type").alias("edge_type")
     )
     named = lookup_join(rows, words.select(F.col("word_id").alias("neighbor_id"), F.col("word").alias("neighbour")), "neighbor_id", "left")
     ruled = lookup_join(named, rules, "rule_id", "left")

@@ -77,9 +77,9 @@ def q_pair_scores(spark, d):
     return W.clean_pair_scores(read(spark, d, "pair_scores")).withColumn("score", F.round("score", 9))
 
 
-@query("""with f as (select lower(trim(frag_id)) frag_id, smarts, coalesce(cardinality(frequency), 0) n,
-       coalesce(list_sum(map_values(frequency)), 0) t, coalesce(len(frag_from), 0) s from fragments where frag_id is not null)
-select frag_id, max(smarts) smarts, cast(max(n) as int) n_sets, cast(max(t) as bigint) total_frequency, cast(max(s) as int) n_sources from f group by 1""")
+@query("""with f as (select lower(trim(frag_id)) fid, coalesce(cardinality(frequency), 0) n, coalesce(list_sum(map_values(frequency)), 0) t, coalesce(len(frag_from), 0) s,
+       columns(* exclude (frag_id, frequency, frag_from)) from fragments where frag_id is not null)
+select fid frag_id, cast(max(n) as int) n_sets, cast(max(t) as bigint) total_frequency, cast(max(s) as int) n_sources, max(columns(* exclude (fid, n, t, s))) from f group by 1""")
 def q_fragment_library(spark, d):
     return W.fragment_library(read(spark, d, "fragments"))
 
@@ -358,7 +358,10 @@ def q_overall_fpr(spark, d):
 
 # ---- graph -----------------------------------------------------------------------------------------------------------------
 
-_E = """e0 as (select least(word_id, neighbor_id) i, greatest(word_id, neighbor_id) j, score, edge_type from neighbors
+_NB = """ptr as (select word_id, indptr, lead(indptr, 1, 9223372036854775807) over (order by word_id) nxt from word_ptr where word_id is not null and indptr is not null),
+nb as (select coalesce(n.word_id, ptr.word_id) word_id, n.edge_pos, n.rank, n.neighbor_id, n.score, n.rule_id, n.edge_type from neighbors n
+  left join ptr on n.word_id is null and n.edge_pos >= ptr.indptr and n.edge_pos < ptr.nxt)"""
+_E = f"""{_NB}, e0 as (select least(word_id, neighbor_id) i, greatest(word_id, neighbor_id) j, score, edge_type from nb
   where word_id is not null and neighbor_id >= 0 and word_id <> neighbor_id and score is not null and not isnan(score)),
 e as (select i, j, max(score) score, max_by(edge_type, struct_pack(s := score, t := edge_type)) edge_type from e0 group by 1, 2),
 s as (select i, j, score, edge_type from e union all select j, i, score, edge_type from e)"""
@@ -369,7 +372,7 @@ _DEG = f"{_TOP}, ids as (select distinct word_id from words where word_id is not
 
 
 def _edges(spark, d):
-    return G.undirected(read(spark, d, "neighbors"))
+    return G.undirected(owned_neighbors(spark, d))
 
 
 def _degrees(spark, d):
@@ -421,12 +424,12 @@ def q_rule_pool(spark, d):
     return G.rule_pool(read(spark, d, "rules"))
 
 
-@query(f"""with {_W}, n as (select word_id, rank, edge_pos, max(neighbor_id) neighbor_id, max(score) score, max(rule_id) rule_id, max(edge_type) edge_type
-  from neighbors where word_id is not null and rank <= 20 group by 1, 2, 3)
+@query(f"""with {_W}, {_NB}, n as (select word_id, rank, edge_pos, max(neighbor_id) neighbor_id, max(case when not isnan(score) then score end) score, max(rule_id) rule_id, max(edge_type) edge_type
+  from nb where word_id is not null and rank <= 20 group by 1, 2, 3)
 select n.word_id, n.rank, n.neighbor_id, w.word neighbour, cast(n.score as double) score, r.rule, {_TYPE} edge_type_name
 from n left join w on w.word_id = n.neighbor_id left join rules r on r.rule_id = n.rule_id""")
 def q_inspect_word(spark, d):
-    return G.inspect_words(read(spark, d, "neighbors"), words(spark, d), clean_rules(spark, d))
+    return G.inspect_words(owned_neighbors(spark, d), words(spark, d), clean_rules(spark, d))
 
 
 @query(f"""with {_DEG}, {_P} select frag_id, count(*) num_words, cast(count(*) filter (degree > 0) as bigint) num_linked, cast(coalesce(sum(degree), 0) as bigint) num_edges,
@@ -450,18 +453,22 @@ def q_induced_edges(spark, d):
 
 # ---- matching --------------------------------------------------------------------------------------------------------------
 
-_M = """m0 as (select rule_id, least(word_id, neighbor_id) a, greatest(word_id, neighbor_id) b, max(cast(score as double)) s from neighbors
+_M = f"""{_NB}, m0 as (select rule_id, least(word_id, neighbor_id) a, greatest(word_id, neighbor_id) b, max(cast(score as double)) s from nb
  where rule_id is not null and word_id is not null and neighbor_id >= 0 and word_id <> neighbor_id and score is not null and not isnan(score) group by 1, 2, 3),
 l as (select rule_id, list(struct_pack(a := a, b := b) order by s desc, a, b) es from m0 group by 1),
 f as (select rule_id, unnest(list_reduce(list_transform(es, lambda e: [e]), lambda acc, x: case when len(list_filter(acc, lambda y: y.a in (x[1].a, x[1].b) or y.b in (x[1].a, x[1].b))) > 0 then acc else acc || x end)) e from l)"""
 
 
-def _matched(spark, d):
-    n = read(spark, d, "neighbors")
+def _ruled_links(spark, d):
+    """(rule_id, a, b, s), a < b: the linked words that share a rule, each pair once with its highest score."""
     ok = (F.col("neighbor_id") >= 0) & (F.col("word_id") != F.col("neighbor_id")) & ~F.isnan("score")
-    e = n.dropna(subset=["rule_id", "word_id", "neighbor_id", "score"]).filter(ok)
+    e = owned_neighbors(spark, d).dropna(subset=["rule_id", "word_id", "neighbor_id", "score"]).filter(ok)
     e = e.select("rule_id", F.least("word_id", "neighbor_id").cast("long").alias("a"), F.greatest("word_id", "neighbor_id").cast("long").alias("b"), F.col("score").cast("double").alias("s"))
-    return greedy_matching(e.groupBy("rule_id", "a", "b").agg(F.max("s").alias("s")), "rule_id")
+    return e.groupBy("rule_id", "a", "b").agg(F.max("s").alias("s"))
+
+
+def _matched(spark, d):
+    return greedy_matching(_ruled_links(spark, d), "rule_id")
 
 
 @query(f"with {_M} select f.rule_id, cast(e.a as bigint) a, cast(e.b as bigint) b, s from f join m0 on m0.rule_id = f.rule_id and m0.a = f.e.a and m0.b = f.e.b")
@@ -474,9 +481,7 @@ def q_matching(spark, d):
 select rule_id, cast(x as bigint) word_id from ends where not exists (select 1 from used where used.rule_id = ends.rule_id and used.x = ends.x)""")
 def q_singletons(spark, d):
     """Words of a rule's links that the matching leaves alone."""
-    n = read(spark, d, "neighbors")
-    ok = (F.col("neighbor_id") >= 0) & (F.col("word_id") != F.col("neighbor_id")) & ~F.isnan("score")
-    e = n.dropna(subset=["rule_id", "word_id", "neighbor_id", "score"]).filter(ok)
-    ends = e.select("rule_id", F.explode(F.array(F.col("word_id").cast("long"), F.col("neighbor_id").cast("long"))).alias("word_id")).distinct()
-    used = _matched(spark, d).select("rule_id", F.explode(F.array("a", "b")).alias("word_id"))
+    links = cut(_ruled_links(spark, d))
+    ends = links.select("rule_id", F.explode(F.array("a", "b")).alias("word_id")).distinct()
+    used = greedy_matching(links, "rule_id").select("rule_id", F.explode(F.array("a", "b")).alias("word_id"))
     return ends.join(used, ["rule_id", "word_id"], "left_anti")

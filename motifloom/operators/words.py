@@ -34,14 +34,14 @@ def clean_pair_scores(pair_scores: DataFrame) -> DataFrame:
 
 
 def fragment_library(fragments: DataFrame) -> DataFrame:
-    """(frag_id, smarts, n_sets, total_frequency, n_sources): one row a fragment; repeated rows are one, nulls give 0."""
+    """(frag_id, n_sets, total_frequency, n_sources, and every other text column): one row a fragment; repeated rows are one, of several texts the
+    largest stays, nulls give 0."""
     count = F.aggregate(F.map_values("frequency"), F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = fragments.select(
-        normal_frag().alias("frag_id"), "smarts", F.coalesce(F.size(F.map_keys("frequency")), F.lit(0)).alias("n"), F.coalesce(count, F.lit(0)).alias("t"),
-        F.greatest(F.coalesce(F.size("frag_from"), F.lit(0)), F.lit(0)).alias("s"),
-    ).filter(F.col("frag_id").isNotNull())
-    return rows.groupBy("frag_id").agg(
-        F.max("smarts").alias("smarts"), F.greatest(F.max("n"), F.lit(0)).cast("int").alias("n_sets"), F.max("t").alias("total_frequency"), F.max("s").cast("int").alias("n_sources")
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    texts = [c for c, kind in fragments.dtypes if kind == "string" and c != "frag_id"]
+    rows = fragments.select(normal_frag().alias("frag_id"), size(F.map_keys("frequency")).alias("_n"), F.coalesce(count, F.lit(0)).alias("_t"), size("frag_from").alias("_s"), *texts)
+    return rows.filter(F.col("frag_id").isNotNull()).groupBy("frag_id").agg(
+        F.max("_n").cast("int").alias("n_sets"), F.max("_t").alias("total_frequency"), F.max("_s").cast("int").alias("n_sources"), *[F.max(c).alias(c) for c in texts]
     )
 
 

@@ -25,11 +25,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, driver_memory: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; make one of our own only where none is set, as in tests."""
+    """Use the shared folder named in spark.checkpoint.dir. Only a session on one machine (master local) may go without: it gets a folder of
+    its own, as in tests; on a cluster that would be another folder on each machine, so it is an error there."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp")))
 
 
