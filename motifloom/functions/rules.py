@@ -1,8 +1,7 @@
 """The rule language: parsing, costs, regular expressions and matching.
 
-``parse`` reads any rule text and keeps its quirks (a parenthesised class adds an optional NUL, `[ABC]` names an unknown class that matches
-nothing, letters without dashes are literals). ``rule_regex`` and ``rule_costs`` work on a Column of rules as the engine writes them, tokens joined
-by `-`, or on plain words, and stay on the JVM side.
+``parse`` reads any rule text by a grammar of token alternatives. ``rule_regex`` and ``rule_costs`` work on a Column of rules as the engine
+writes them, tokens joined by `-`, or on plain words, and stay on the JVM side.
 """
 
 from __future__ import annotations
@@ -28,62 +27,55 @@ class Token(NamedTuple):
     most: int = 1
 
 
-_NUMBER = re.compile(r"\s*[+-]?\d+")
+# The alternatives of a token, tried in this order. A stretch begins with an x that follows no letter; between brackets or parentheses a dash is a
+# character like any other.
+_GRAMMAR = re.compile(
+    r"""(?P<between>-)
+      | (?P<gap>_)
+      | \[ (?P<class>[^\]]*) \]
+      | (?<![^-\])_]) x\( (?P<stretch>[^)[][^)]*) \)
+      | \( \[ (?P<optional_class>[^\]]*) \] \)
+      | \( (?P<optional_gap>_) \)
+      | \( (?P<optional>[^)]*) \)
+      | (?P<stray>[][()])
+      | (?P<literal>.)""",
+    re.X | re.S,
+)
+_NOTHING = Token("optional", "\0")  # what a closing parenthesis adds when no letter stands before it
+_GAP = Token("gap", "", 1, 4)
+_MEANING = {
+    "between": lambda t: [],
+    "stray": lambda t: [],
+    "gap": lambda t: [_GAP],
+    "class": lambda t: [Token("class", t)],
+    "stretch": lambda t: [_stretch(*map(_number, t.split(",", 1)))],
+    "optional_class": lambda t: [Token("optional_class", t), _NOTHING],
+    "optional_gap": lambda t: [_GAP, _NOTHING],
+    "optional": lambda t: [Token("optional", t[0]) if t else _NOTHING],
+    "literal": lambda t: [Token("literal", t)],
+}
 
 
 def _number(text: str) -> int:
-    m = _NUMBER.match(text)
+    m = re.match(r"\s*[+-]?\d+", text)
     if not m:
         raise ValueError(f"no number in a wildcard: {text!r}")
     return int(m[0])
 
 
-def _closed(held: str) -> Token:
-    """What a closing parenthesis makes of the characters collected before it."""
-    if len(held) >= 3 and held.startswith("x("):
-        low, comma, high = held[2:].partition(",")
-        if comma:
-            return Token("range", "", _number(low), _number(high))
-        n = _number(low)
-        return Token("fixed", "", n, n) if n else Token("optional", "\0", 0, 0)
-    return Token("optional", held[:1] or "\0")
+def _stretch(low: int, high: int | None = None) -> Token:
+    if high is not None:
+        return Token("range", "", low, high)
+    return Token("fixed", "", low, low) if low else _NOTHING._replace(least=0, most=0)
 
 
 def parse(rule: str) -> list[Token]:
-    """The tokens of a rule text; raises ValueError for a wildcard without a number."""
-    out: list[Token] = []
-    held, square, round_ = "", False, False
-
-    def flush(held: str) -> str:
-        out.extend(Token("literal", c) for c in held)
-        return ""
-
-    for c in rule:
-        if c == "[":
-            flush(held)
-            held, square = "", True
-        elif c == "]":
-            out.append(Token("optional_class" if round_ else "class", held))
-            held, square = "", False
-        elif c == "(":
-            if held and not square and held != "x":
-                flush(held)
-                held = ""
-            held = "x(" if held == "x" else ""
-            round_ = True
-        elif c == ")":
-            out.append(_closed(held))
-            held, round_ = "", False
-        elif c == "_":
-            if not square:
-                held = flush(held)
-            out.append(Token("gap", "", 1, 4))
-        elif c == "-" and not square and not round_:
-            held = flush(held)
-        else:
-            held += c
-    flush(held)
-    return out
+    """The tokens of a rule text; raises ValueError for a wildcard without a number.
+
+    A parenthesis counts its first letter only, and adds an optional NUL behind a class or `_`, which stays needed; x(0) is an optional NUL;
+    `[ABC]` names a class that isn't known and matches nothing; letters may stand without dashes; a bracket without its partner is no token.
+    """
+    return [t for m in _GRAMMAR.finditer(rule) for t in _MEANING[m.lastgroup](m[m.lastgroup])]
 
 
 def _one_of(name: str) -> str:
@@ -173,7 +165,7 @@ def rule_regex(rule: Column, nothing: str = "(?!)") -> Column:
             .when(k["optional"], F.concat(t, F.lit("?")))
             .when(k["optional_gap"], F.lit(r".{1,4}\x00?"))
             .when(k["optional_class"], F.concat(F.lit("(?:"), group(t), F.lit(r")?\x00?")))
-            .otherwise(t)
+            .otherwise(F.regexp_replace(t, "([^A-Za-z0-9])", r"\\$1"))
         )
 
     return F.array_join(F.transform(rule_tokens(rule), one), "")
@@ -241,11 +233,15 @@ def rule_covers_word(rule: pd.Series, word: pd.Series) -> pd.Series:
 
 def hits(patterns: list[str], words: list[str]) -> list[np.ndarray]:
     """For every pattern the places of the words that it matches as a whole; one scan of the joined words a pattern."""
-    joined = "\n".join(words)
+    joined = "\n".join(w.replace("\n", "?") for w in words)
+    broken = np.array([k for k, w in enumerate(words) if "\n" in w], dtype=np.int64)  # words with a line break are tried one by one
     starts = np.cumsum([0, *[len(w) + 1 for w in words]])
     out = []
     for p in patterns:
-        p = p.replace("(?!)", "[^\\x00-\\U0010ffff]").replace(".{", "[^\\n]{")
-        found = [m.start() for m in re.finditer(f"(?m)^(?:{p})$", joined)]
-        out.append(np.searchsorted(starts, found))
+        p = p.replace("(?!)", "[^\\x00-\\U0010ffff]")
+        found = np.searchsorted(starts, [m.start() for m in re.finditer("(?m)^(?:%s)$" % p.replace(".{", "[^\\n]{"), joined)])
+        if len(broken):
+            own = [k for k in broken if re.fullmatch(p, words[k], re.S)]
+            found = np.sort(np.concatenate([found[~np.isin(found, broken)], np.array(own, np.int64)]))
+        out.append(found)
     return out

@@ -1,7 +1,7 @@
 """Work on keys of which a few hold most rows.
 
-``salted_key_stats`` is the two-stage salted aggregation (problem 2), ``lookup_join`` the join of skewed rows with a
-table that has one row a key. Neither brings more than ``HOT_KEYS`` keys to the driver.
+``salted_key_stats`` is the two-stage salted aggregation (problem 2), ``lookup_join`` the join of skewed rows with a table that has one row
+a key. A key is hot by its share of all rows, so there are at most as many hot keys as the share allows, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 256
+HOT_SHARE = 512  # a key is hot from this part of all rows on, so at most so many keys are
 
 
 def normal_frag(c: str | Column = "frag_id") -> Column:
@@ -22,21 +22,25 @@ def normal_word(c: str | Column = "word") -> Column:
     return F.upper(F.trim(F.col(c) if isinstance(c, str) else c))
 
 
-def hot_keys(df: DataFrame, key: str, least_rows: int = 50_000, most: int = HOT_KEYS) -> list:
-    """The keys with the most rows, at most ``most`` of them and only those with ``least_rows`` rows or more.
+def hot_keys(df: DataFrame, key: str, least_rows: int = 50_000, share: int = HOT_SHARE) -> list:
+    """The keys that hold at least one in ``share`` of all rows with a key, and ``least_rows`` rows or more; so at most ``share`` keys.
 
-    Counts are combined before the shuffle; the driver gets ``most`` rows at most, whatever the size of df.
+    Counts are combined before the shuffle; the driver gets ``share`` rows at most, whatever the size of df.
     """
-    top = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), key).limit(most).collect()
-    return [r[0] for r in top if r["_n"] >= least_rows]
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_rows)
+    top = counts.orderBy(F.desc("_n"), key).limit(share).collect()  # the limit cuts off no key that has the share
+    if not top:
+        return []
+    total = df.select(key).count()
+    return [r[0] for r in top if r["_n"] * share >= total]
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least_rows: int = 50_000, hot: list | None = None) -> DataFrame:
     """Join left, whose keys may be skewed, with right, which has one row a key at most.
 
-    Rows of hot keys stay where they are and meet a broadcast of the (at most HOT_KEYS) rows that right has for them; all
-    others are shuffled by key. how: inner, left, left_semi or left_anti. A null key matches nothing. hot: the hot keys, if the
-    caller knows them.
+    Rows of hot keys stay where they are and meet a broadcast of the rows that right has for them, at most one a hot key; all others are
+    shuffled by key. how: inner, left, left_semi or left_anti. A null key matches nothing. hot: the hot keys, if the caller knows them, say from
+    a base table that is cheaper to count in; else left is computed once more to count its keys, so cut it first where it is dear.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join can't do {how}")
@@ -51,23 +55,27 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return out.unionByName(nulls.join(right.limit(0), key, how)) if keep_nulls else out
 
 
-def salted_key_stats(
-    df: DataFrame, key: list[str], partner: str, pos: str, rows_per_salt: int = 100_000, hot_share: int = HOT_KEYS
-) -> DataFrame:
+def salted_key_stats(df: DataFrame, key: list[str], partner: str, pos: str, rows_per_salt: int | None = None) -> DataFrame:
     """Rows, distinct partners, first and last pos of every key, in two stages.
 
-    Keys with more than ``rows_per_salt`` rows get ceil(rows / rows_per_salt) salts. The salt is a hash of the partner, so it
-    spreads like a random one, is the same when a lost task runs again, and keeps a partner in one salt, so that distinct
-    partners of the salts add up. Stage 1 aggregates by (key, salt), stage 2 merges the salts of a key.
+    Every key with more than ``rows_per_salt`` rows is heavy and gets ceil(rows / rows_per_salt) salts; without one given it is a quarter of
+    a shuffle partition's fair share, so a key is split before it can make a task longer than the others, and there are at most
+    four times as many heavy keys as partitions. The salt is a hash of the partner: it spreads like a random one, is the same when a lost task
+    runs again, and keeps a partner in one salt, so that distinct partners of the salts add up. Stage 1 shuffles the rows once, by (key, salt),
+    and aggregates there; stage 2 merges the salts of a key, one row each.
 
     Nulls: rows with a null in ``key`` are left out; null partners and positions count as rows only. Repeated rows count in
     ``n_rows`` each time. An empty input gives an empty result. Result: key columns, n_rows, n_partners, first_pos, last_pos.
     """
+    spark = df.sparkSession
     rows = df.select(*key, F.col(partner).alias("_partner"), F.col(pos).alias("_pos")).dropna(subset=key)
-    heavy = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), *key).limit(hot_share).filter(F.col("_n") > rows_per_salt)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows_per_salt is None:
+        rows_per_salt = max(1, -(-df.count() // (4 * partitions)))
+    heavy = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_salt)
     heavy = heavy.select(*key, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts"))
     salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(F.lit("salt"), "_partner"), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
-    salted = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt)
+    salted = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt).repartition(partitions, *key, "_salt")
     by_partner = salted.groupBy(*key, "_salt", "_partner").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
     partial = by_partner.groupBy(*key, "_salt").agg(
         F.sum("_n").alias("_n"), F.count("_partner").alias("_d"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
@@ -77,7 +85,7 @@ def salted_key_stats(
     )
 
 
-def frag_word_key_stats(word_frags: DataFrame, rows_per_salt: int = 100_000) -> DataFrame:
+def frag_word_key_stats(word_frags: DataFrame, rows_per_salt: int | None = None) -> DataFrame:
     """``salted_key_stats`` of both keys of word_frags at once: (key_kind, key_value, n_rows, n_partners, first_pos, last_pos)."""
     frag, word = normal_frag(), F.col("word_id").cast("string")
     both = word_frags.select(
@@ -92,7 +100,7 @@ def frag_word_key_stats(word_frags: DataFrame, rows_per_salt: int = 100_000) ->
     return salted_key_stats(both, ["key_kind", "key_value"], "partner", "pos", rows_per_salt)
 
 
-def dominant_keys(word_frags: DataFrame, percent: float = 3.0, rows_per_salt: int = 100_000) -> DataFrame:
+def dominant_keys(word_frags: DataFrame, percent: float = 3.0, rows_per_salt: int | None = None) -> DataFrame:
     """Keys that hold at least ``percent`` of all rows, rows with null keys included in the total."""
     total = word_frags.agg(F.count(F.lit(1)).alias("total"))
     stats = frag_word_key_stats(word_frags, rows_per_salt)

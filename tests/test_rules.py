@@ -31,10 +31,16 @@ def test_parser_quirks():
     assert [t.kind for t in R.parse("([basic])")] == ["optional_class", "optional"]
     assert [t.kind for t in R.parse("(_)")] == ["gap", "optional"]
     assert R.parse("x(0)") == [R.Token("optional", "\0", 0, 0)]
+    assert [t.kind for t in R.parse("A-[B")] == ["literal", "literal"] and R.parse("()") == [R.Token("optional", "\0")]
+    assert R.parse("-x(2)-x( 1,3)_x(1,1)") == [R.Token("fixed", "", 2, 2), R.Token("range", "", 1, 3), R.Token("gap", "", 1, 4), R.Token("range", "", 1, 1)]
     with pytest.raises(ValueError):
         R.parse("x(a)")
 
 
+def test_words_with_line_breaks_keep_their_places():
+    assert [h.tolist() for h in R.hits(["A.{1,1}C", "C"], ["A\nC", "ABC", "C", "A\n"])] == [[0, 1], [2]]
+
+
 def test_costs():
     assert R.costs(R.parse("[basic]-Y-R-G-S-D-C")).complexity == 7.5
     c = R.costs(R.parse("x(0,3)-Y-R-G-S-D-C-x(0,3)"))
