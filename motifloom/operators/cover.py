@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions.rules import hits
-from motifloom.session import spread
+from motifloom.operators.skew import lookup_join
+from motifloom.session import cut, spread
 
 TILE = 4096
 
@@ -19,7 +20,8 @@ def rule_hits(rules: DataFrame, words: DataFrame, group: str, tile: int = TILE)
     """(group, rid, ord): the words (group, ord, word) that match the rules (group, rid, regex, exact) of their group as a whole.
 
     A rule without wildcards (``exact`` holds its only word, else null) is an equi-join. The others meet the words in tiles of at
-    most about ``tile`` rules and ``tile`` words, each scanned by one task, so no task gets a whole large group.
+    most about ``tile`` rules and ``tile`` words, each scanned by one task, so no task gets a whole large group; rows of large groups stay where they
+    are until they have a tile. rules and words are read more than once: cut them first.
     """
     same = rules.filter(F.col("exact").isNotNull()).select(group, "rid", F.col("exact").alias("word")).join(words, [group, "word"]).select(group, "rid", "ord")
     wild = rules.filter(F.col("exact").isNull()).select(group, "rid", "regex")
@@ -27,8 +29,8 @@ def rule_hits(rules: DataFrame, words: DataFrame, group: str, tile: int = TILE)
     n_rules = wild.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("rt"))
     tiles = n_words.join(n_rules, group)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    r = wild.join(tiles, group).withColumn("rb", F.pmod(F.hash("rid"), F.col("rt"))).withColumn("wb", each("wt")).select(group, "wb", "rb", "rid", "regex")
-    w = words.join(tiles, group).withColumn("wb", F.pmod(F.hash("ord"), F.col("wt"))).withColumn("rb", each("rt")).select(group, "wb", "rb", "ord", "word")
+    r = lookup_join(wild, tiles, group, least_rows=tile).withColumn("rb", F.pmod(F.hash("rid"), F.col("rt"))).withColumn("wb", each("wt")).select(group, "wb", "rb", "rid", "regex")
+    w = lookup_join(words, tiles, group, least_rows=tile).withColumn("wb", F.pmod(F.hash("ord"), F.col("wt"))).withColumn("rb", each("rt")).select(group, "wb", "rb", "ord", "word")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         found = hits(left["regex"].to_pylist(), right["word"].to_pylist()) if left.num_rows and right.num_rows else []
@@ -96,32 +98,47 @@ def first_cover(ranked: DataFrame, group: str) -> DataFrame:
 
 
 def until_target(cover: DataFrame, totals: DataFrame, group: str, target: float) -> DataFrame:
-    """The rules of ``first_cover`` that a walk takes until ``target`` of the group's ``n`` words (totals: group, n) is covered."""
-    before = F.coalesce(F.sum("n_new").over(Window.partitionBy(group).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cover.join(totals, group).withColumn("_before", before).filter((F.col("_before") == 0) | (F.col("_before") / F.col("n") < target)).drop("_before", "n")
-
-
-def cover_with_limit(rows: DataFrame, group: str, target: float, max_fpr: float) -> DataFrame:
-    """The walk in full, for groups in which the limit on false positives can skip rules: rows (group, place_no, rid, ords, negs, pool, n)
-    in; (group, rid, n_new) out. Skipping depends on all that was taken before, so a group is walked by one task."""
-
-    def walk(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["place_no"].to_numpy(), kind="stable")
-        rid, ords, negs = table["rid"].to_pylist(), table["ords"].to_pylist(), table["negs"].to_pylist()
-        n, pool = table["n"][0].as_py(), table["pool"][0].as_py()
-        covered: set[int] = set()
-        bad: set[int] = set()
-        out = []
-        for k in order:
-            new = [o for o in ords[k] if o not in covered]
-            if not new or (pool and len(bad.union(negs[k])) / pool > max_fpr):
-                continue
-            covered.update(new)
-            bad.update(negs[k])
-            out.append((rid[k], len(new)))
-            if len(covered) / n >= target:
-                break
-        key = table[group][0].as_py()
-        return pa.table({group: pa.array([key] * len(out), table.schema.field(group).type), "rid": pa.array([r for r, _ in out], pa.int64()), "n_new": pa.array([c for _, c in out], pa.int64())})
-
-    return rows.groupBy(group).applyInArrow(walk, f"{group} {rows.schema[group].dataType.simpleString()}, rid bigint, n_new bigint")
+    """The rules of ``first_cover`` that a walk takes until ``target`` of the group's ``n`` words is covered; totals: group, n, and ``had`` words
+    that are covered already."""
+    earlier = Window.partitionBy(group).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("had") + F.coalesce(F.sum("n_new").over(earlier), F.lit(0))
+    return cover.join(totals, group).withColumn("_before", before).filter((F.col("_before") == 0) | (F.col("_before") / F.col("n") < target)).select(group, "place", "n_new")
+
+
+def greedy_cover(hits: DataFrame, negs: DataFrame, totals: DataFrame, group: str, target: float, max_fpr: float) -> DataFrame:
+    """(group, place, n_new): the rules that a walk in the order of place takes. It skips a rule that covers nothing new, or with which more than
+    ``max_fpr`` of the group's ``pool`` of negatives would be matched by the rules taken, and ends at ``target`` of the group's ``n`` words.
+
+    hits (group, place, ord), negs (group, place, neg) with each rule's negatives, totals (group, n, pool); place as in ``first_cover``.
+
+    While no rule is skipped for its negatives, the walk is ``first_cover`` up to the target. So each step takes that for all groups at once, looks
+    up the first place at which the negatives are too many, keeps what stands before it, and goes on behind it with the words, rules and room that are
+    left; rules that need more than this room are skipped for good, as it only shrinks. Every step uses up one more negative of
+    each group that goes on, or ends it, so there are at most max_fpr * pool + 1 steps, whatever the number of rules and words. No
+    group is gathered: the sums that end a group go over one row a rule (the target) and one row a negative (the room).
+    """
+    state = totals.select(group, "n", "pool", F.lit(0).cast("long").alias("had"), F.lit(0).cast("long").alias("bad"))
+    live, seen, rules, out = hits, negs.select(group, "neg").limit(0), negs, None
+    upto = Window.partitionBy(group).orderBy("place")
+    while True:
+        new = cut(until_target(first_cover(live, group), state.select(group, "n", "had"), group, target))
+        fresh = rules.join(new, [group, "place"], "left_semi").groupBy(group, "neg").agg(F.min("place").alias("place"))
+        grown = fresh.groupBy(group, "place").agg(F.count(F.lit(1)).alias("c")).withColumn("u", F.sum("c").over(upto))
+        over = grown.join(state.select(group, "pool", "bad"), group).filter((F.col("pool") > 0) & ((F.col("bad") + F.col("u")) / F.col("pool") > max_fpr))
+        stop = cut(over.groupBy(group).agg(F.min("place").alias("stop")))
+        if stop.isEmpty():
+            return new if out is None else out.unionByName(new)
+        before = lambda df: df.join(stop, group).filter(F.col("place") < F.col("stop")).drop("stop")
+        behind = lambda df: df.join(stop, group).filter(F.col("place") > F.col("stop")).drop("stop")
+        taken = new.join(stop, group, "left").filter(F.col("stop").isNull() | (F.col("place") < F.col("stop"))).drop("stop")
+        out = cut(taken if out is None else out.unionByName(taken))
+        mine = before(new)
+        seen = cut(seen.unionByName(before(fresh).select(group, "neg")).join(stop, group, "left_semi"))
+        grew = mine.groupBy(group).agg(F.sum("n_new").alias("more"))
+        state = state.drop("bad").join(stop, group, "left_semi").join(grew, group, "left").join(seen.groupBy(group).agg(F.count(F.lit(1)).alias("bad")), group, "left")
+        state = cut(state.select(group, "n", "pool", (F.col("had") + F.coalesce("more", F.lit(0))).alias("had"), F.coalesce("bad", F.lit(0)).alias("bad")))
+        rules = cut(behind(rules).join(seen, [group, "neg"], "left_anti"))
+        asks = rules.groupBy(group, "place").agg(F.count(F.lit(1)).alias("c")).join(state.select(group, "pool", "bad"), group)
+        barred = asks.filter((F.col("bad") + F.col("c")) / F.col("pool") > max_fpr).select(group, "place")
+        covered = before(live).join(mine, [group, "place"], "left_semi").select(group, "ord").distinct()
+        live = cut(behind(live).join(barred, [group, "place"], "left_anti").join(covered, [group, "ord"], "left_anti"))

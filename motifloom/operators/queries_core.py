@@ -278,7 +278,7 @@ def _selected(spark, d):
     n = lookup_join(found.groupBy("frag_id", "rule_id").agg(F.count(F.lit(1)).alias("n_pos")), cost, "rule_id")
     placed = n.select("frag_id", "rule_id", F.struct((-F.col("n_pos")).alias("n"), "c", "rule_id").alias("place"))
     hits = found.join(placed, ["frag_id", "rule_id"]).select("frag_id", "place", F.col("word_id").alias("ord"))
-    totals = pairs(spark, d).groupBy("frag_id").agg(F.count(F.lit(1)).alias("n"))
+    totals = pairs(spark, d).groupBy("frag_id").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("had"))
     chosen = V.until_target(V.first_cover(hits, "frag_id"), totals, "frag_id", 0.85)
     return chosen.select("frag_id", F.col("place.rule_id").alias("rule_id"), "n_new"), found, totals
 

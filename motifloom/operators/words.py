@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifloom.operators.skew import lookup_join, normal_frag, normal_word
+from motifloom.operators.skew import hot_keys, lookup_join, normal_frag, normal_word
 from motifloom.session import cut
 
 
@@ -22,7 +22,7 @@ def clean_pairs(word_frags: DataFrame) -> DataFrame:
 
 def frag_words(words: DataFrame, word_frags: DataFrame) -> DataFrame:
     """(frag_id, ord, word_id, word): the words of every fragment; ord orders them by place, then id, and is unique in a fragment."""
-    named = lookup_join(clean_pairs(word_frags), clean_words(words), "word_id")
+    named = lookup_join(clean_pairs(word_frags), clean_words(words), "word_id", hot=hot_keys(word_frags, "word_id"))
     order = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("word_id")
     return named.select("frag_id", order.alias("ord"), "word_id", "word")
 
@@ -75,6 +75,12 @@ def word_index(fw: DataFrame) -> DataFrame:
     return dense_number(named, [F.col("first_frag"), F.col("first_ord")], "idx").select("idx", "word", "first_frag")
 
 
+def with_word_ids(fw: DataFrame) -> DataFrame:
+    """frag_words(frag_id, ord, word) with word_id, the word's number in ``word_index``: equal words have one id, others never share it."""
+    fw = cut(fw)
+    return fw.join(word_index(fw).select("word", F.col("idx").alias("word_id")), "word").select("frag_id", "ord", "word_id", "word")
+
+
 def word_fragment_counts(fw: DataFrame) -> DataFrame:
     """(word_id, n_frags, first_frag, last_frag) of every word; the long table is the word's list of fragments."""
     return fw.groupBy("word_id").agg(F.count(F.lit(1)).alias("n_frags"), F.min("frag_id").alias("first_frag"), F.max("frag_id").alias("last_frag"))

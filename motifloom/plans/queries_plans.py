@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motifloom.operators.queries_core import frag_words, words
+from motifloom.operators.words import with_word_ids
 from motifloom.plans.mine import fragment_edges, mine_rules, run_totals
 from motifloom.plans.neighbours import build_graph
 from motifloom.session import cut, read
@@ -17,24 +18,30 @@ def part_words(spark, d):
     """Brands and the two-token names of their parts as fragments and words, in the order of the names."""
     p = read(spark, d, "part").select(F.col("p_brand").alias("frag_id"), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("word")).dropna().distinct()
     order = F.row_number().over(Window.partitionBy("frag_id").orderBy("word")) - 1
-    return p.select("frag_id", order.cast("long").alias("ord"), F.xxhash64("word").alias("word_id"), "word")
+    return with_word_ids(p.select("frag_id", order.cast("long").alias("ord"), "word"))
 
 
 def q_mine_part_words(spark, d):
-    return mine_rules(part_words(spark, d))[0].withColumn("rule_fpr", F.round("rule_fpr", 9))
+    return mine_rules(part_words(spark, d)).rules.drop("rid").withColumn("rule_fpr", F.round("rule_fpr", 9))
 
 
 def q_mine_rules(spark, d):
-    return mine_rules(frag_words(spark, d))[0].withColumn("rule_fpr", F.round("rule_fpr", 9))
+    return mine_rules(frag_words(spark, d)).rules.drop("rid").withColumn("rule_fpr", F.round("rule_fpr", 9))
+
+
+def q_covered_words(spark, d):
+    """Every word of every fragment under the mined rule that covers it."""
+    mined = mine_rules(frag_words(spark, d))
+    return mined.covered.join(mined.rules.select("frag_id", "rid", "rule", "kind"), ["frag_id", "rid"]).select("frag_id", "rule", "kind", "word")
 
 
 def q_mine_summary(spark, d):
-    summary = mine_rules(frag_words(spark, d))[1]
+    summary = mine_rules(frag_words(spark, d)).summary
     return summary.select("frag_id", "total_words", "n_rules", *[F.round(c, 9).alias(c) for c in ("coverage", "gen_coverage", "overall_fpr", "selected_fpr")])
 
 
 def q_run_totals(spark, d):
-    return run_totals(mine_rules(frag_words(spark, d))[1])
+    return run_totals(mine_rules(frag_words(spark, d)).summary)
 
 
 def q_build_graph(spark, d):
@@ -46,5 +53,5 @@ def q_build_graph_all(spark, d):
     return build_graph(words(spark, d), max_posting=None).neighbors.withColumn("score", F.round(F.col("score").cast("double"), 4))
 
 
-QUERIES = {f.__name__: f for f in (q_fragment_edges, q_mine_part_words, q_mine_rules, q_mine_summary, q_run_totals, q_build_graph, q_build_graph_all)}
+QUERIES = {f.__name__: f for f in (q_fragment_edges, q_mine_part_words, q_mine_rules, q_covered_words, q_mine_summary, q_run_totals, q_build_graph, q_build_graph_all)}
 SQL: dict[str, str] = {}

@@ -149,11 +149,17 @@ def test_matching_equals_the_walk(spark):
             if not used & {a, b}:
                 used |= {a, b}
                 want.add((g, a, b, s))
-    for bound in (10**6, 3):
-        assert {tuple(r)[:4] for r in greedy_matching(df, "grp", bound).collect()} == want
+    for head in (10**6, 60):
+        got = [tuple(r)[:4] for r in greedy_matching(df, "grp", head).collect()]
+        assert set(got) == want and len(got) == len(want)
     assert greedy_matching(df.limit(0), "grp").collect() == []
 
 
+def test_matching_of_a_long_chain_of_equal_scores(spark):
+    df = spark.createDataFrame([("x", k, k + 1, 1.0) for k in range(400)], "grp string, a long, b long, s double")
+    assert {(r.a, r.b) for r in greedy_matching(df, "grp", 100).collect()} == {(k, k + 1) for k in range(0, 400, 2)}
+
+
 def _slow_edges(ws):
     out = {}
     for a, b in itertools.combinations(range(len(ws)), 2):
@@ -214,7 +220,13 @@ def test_mining_equals_the_walk(spark, target, max_fpr):
     lists = {"frag_a": _family(30, 1), "frag_b": _family(25, 2), "frag_c": ["ACDEFG"], "frag_d": ["ACDEFG", "ACDEFG", "A_DEF"]}
     df = _fw(spark, lists)
     prefix = negative_prefix(df, 20)
-    rules, summary = mine_rules(df, target, max_fpr, 20)
+    rules, summary, covered = mine_rules(df, target, max_fpr, 20)
+    under = defaultdict(list)
+    for r in covered.join(rules, ["frag_id", "rid"]).collect():
+        under[r.frag_id, r.rid].append(r.word)
+        assert r.kind == "exact" and r.rule == r.word or R.covers(r.rule, r.word)
+    assert {(r.frag_id, r.rid): r.covered_count for r in rules.collect()} == {k: len(v) for k, v in under.items()}
+    assert sorted(w for v in under.values() for w in v) == sorted(w for ws in lists.values() for w in ws)
     got = defaultdict(list)
     for r in rules.collect():
         got[r.frag_id].append((r.rule, r.covered_count, r.average_score))
@@ -230,11 +242,11 @@ def test_mining_equals_the_walk(spark, target, max_fpr):
 
 def test_mining_goldens_and_nothing(spark):
     lists = {"f": ["RYRGSDC", "KYRGSDC", "AAAAWW"], "g": ["HYRGSDC", "PPPP"]}
-    rules = {(r.rule, r.average_score) for r in mine_rules(_fw(spark, lists), 0.85, 0.5)[0].filter("frag_id = 'f'").collect()}
+    rules = {(r.rule, r.average_score) for r in mine_rules(_fw(spark, lists), 0.85, 0.5).rules.filter("frag_id = 'f'").collect()}
     assert rules == {("[basic]-Y-R-G-S-D-C", 7.5), ("AAAAWW", 6.0)}
-    strict = {(r.rule, r.average_score) for r in mine_rules(_fw(spark, lists), 0.85, 0.1)[0].filter("frag_id = 'f'").collect()}
+    strict = {(r.rule, r.average_score) for r in mine_rules(_fw(spark, lists), 0.85, 0.1).rules.filter("frag_id = 'f'").collect()}
     assert strict == {("AAAAWW", 6.0), ("RYRGSDC", 0.0), ("KYRGSDC", 0.0)}
-    rules, summary = mine_rules(_fw(spark, {}))
+    rules, summary, _ = mine_rules(_fw(spark, {}))
     assert rules.collect() == [] == summary.collect() and run_totals(summary).first().n_fragments == 0
 
 
