@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.operators.skew import lookup_join
+from motifloom.operators.skew import in_block_pairs, lookup_join, once_in_blocks
 from motifloom.session import cut, spread
 
 MAX_POSTING, MIN_SCORE, MIN_LENGTH, MAX_RATIO = 300, 10, 3, 5
@@ -75,6 +75,11 @@ def postings(words: DataFrame) -> DataFrame:
     return by.groupBy("anchor").agg(F.sum("m").alias("n_rows"), F.count(F.lit(1)).alias("n_words"))
 
 
+def stop_anchors(words: DataFrame, max_posting: int = MAX_POSTING) -> DataFrame:
+    """(anchor, n_rows) of the anchors with more than ``max_posting`` rows."""
+    return postings(words).filter(F.col("n_rows") > max_posting).select("anchor", "n_rows")
+
+
 def candidate_pairs(words: DataFrame, max_posting: int | None = MAX_POSTING, min_tenths: int = MIN_SCORE, split: int = SPLIT) -> DataFrame:
     """(i, j, tenths), i < j: pairs of words that share anchors, with the sum of the anchors' weights in tenths.
 
@@ -86,22 +91,15 @@ def candidate_pairs(words: DataFrame, max_posting: int | None = MAX_POSTING, min
     by = cut(anchors(words).groupBy("anchor", "word_id").agg(F.count(F.lit(1)).alias("m")))
     size = by.groupBy("anchor").agg(F.sum("m").alias("rows"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     size = size.filter(F.col("rows") <= max_posting) if max_posting is not None else size
-    kept = lookup_join(by, size.select("anchor"), "anchor", "left_semi") if max_posting is not None else lookup_join(by, size.select("anchor", "n"), "anchor")
+    kept = lookup_join(by, size.select("anchor", "n"), "anchor")
     long_enough = words.select("word_id", F.length(bare(F.col("word"))).alias("len")).filter(F.col("len") >= MIN_LENGTH)
     kept = kept.join(long_enough, "word_id").withColumns({"w": anchor_weight(F.col("anchor")), "h": F.xxhash64("anchor")})
-    keys, once = ["h", "anchor"], F.lit(True)
-    if max_posting is None:
-        kept = kept.withColumn("nb", F.ceil(F.col("n") / split).cast("int")).withColumn("blk", F.pmod(F.xxhash64("word_id"), F.col("nb")).cast("int"))
-        kept = kept.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        kept = kept.withColumns({"p": F.least("blk", "other"), "q": F.greatest("blk", "other")})
-        keys, once = [*keys, "p", "q"], (F.col("p") == F.col("q")) | (F.col("bi") != F.col("bj"))
-    else:
-        kept = kept.withColumn("blk", F.lit(0))
-    kept = spread(kept, *keys)  # few bytes make many pairs
-    x = kept.select(*keys, F.col("word_id").alias("i"), (F.col("m") * F.col("w")).alias("mi"), F.col("len").alias("li"), F.col("blk").alias("bi"))
-    y = kept.select(*keys, F.col("word_id").alias("j"), F.col("m").alias("mj"), F.col("len").alias("lj"), F.col("blk").alias("bj"))
+    keys = ["h", "anchor", "_p", "_q"]
+    kept = spread(in_block_pairs(kept, ["anchor"], "word_id", "n", split), *keys)  # few bytes make many pairs
+    x = kept.select(*keys, F.col("word_id").alias("i"), (F.col("m") * F.col("w")).alias("mi"), F.col("len").alias("li"), F.col("_b").alias("bi"))
+    y = kept.select(*keys, F.col("word_id").alias("j"), F.col("m").alias("mj"), F.col("len").alias("lj"), F.col("_b").alias("bj"))
     ratio = F.greatest("li", "lj") <= F.least("li", "lj") * MAX_RATIO
     met = x.join(y, keys)  # anchors begin alike, so sorting by their hash first is faster
-    met = met.filter(once & (F.col("i") < F.col("j")) & ratio)
+    met = met.filter(once_in_blocks("bi", "bj") & (F.col("i") < F.col("j")) & ratio)
     tenths = F.sum(F.col("mi") * F.col("mj"))
     return met.groupBy("i", "j").agg(tenths.cast("long").alias("tenths")).filter(F.col("tenths") >= min_tenths)

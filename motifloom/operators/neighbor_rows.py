@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifloom.session import read
+from motifloom.session import cut, read
 
 SLICE = 1 << 18
 
@@ -39,11 +39,12 @@ def resolved_neighbors(spark, sf_dir, keep=None) -> DataFrame:
     n = n.filter(F.col("neighbor_id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     told = n.filter(F.col("word_id").isNotNull()).select("word_id", "neighbor_id", "score")
     lost = n.filter(F.col("word_id").isNull() & F.col("edge_pos").isNotNull()).select("edge_pos", "neighbor_id", "score")
-    return told.unionByName(slice_owner(lost, read(spark, sf_dir, "word_ptr")).select("word_id", "neighbor_id", "score").dropna())
+    found = slice_owner(lost, read(spark, sf_dir, "word_ptr")).select("word_id", "neighbor_id", "score").dropna()
+    return told.unionByName(cut(found))  # a small part of the rows, which callers read more than once
 
 
 def owned_neighbors(spark, sf_dir) -> DataFrame:
     """neighbors with every column, and with the word of each row where word_ptr tells it."""
     n = read(spark, sf_dir, "neighbors")
     lost = n.filter(F.col("word_id").isNull() & F.col("edge_pos").isNotNull())
-    return n.filter(F.col("word_id").isNotNull()).unionByName(slice_owner(lost, read(spark, sf_dir, "word_ptr")))
+    return n.filter(F.col("word_id").isNotNull()).unionByName(cut(slice_owner(lost, read(spark, sf_dir, "word_ptr"))))

@@ -163,7 +163,13 @@ where least(p.len, q.len) >= 3 and greatest(p.len, q.len) <= 5 * least(p.len, q.
 @query(f"with {_ALL} select anchor, count(*) n_rows from anc group by 1 having count(*) > 300")
 def q_posting_cap(spark, d):
     """Stop anchors: those that candidate pairs leave out by definition."""
-    return N.postings(words(spark, d)).filter(F.col("n_rows") > N.MAX_POSTING).select("anchor", "n_rows")
+    return N.stop_anchors(words(spark, d))
+
+
+@query(f"with {_ALL} select anchor, count(*) n_rows from anc group by 1 having count(*) > 30")
+def q_posting_cap_30(spark, d):
+    """Stop anchors under a cap that small tables reach too."""
+    return N.stop_anchors(words(spark, d), 30)
 
 
 @query(f"with {_CAND}")

@@ -55,6 +55,23 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return out.unionByName(nulls.join(right.limit(0), key, how)) if keep_nulls else out
 
 
+def in_block_pairs(df: DataFrame, key: list[str], member: str, size: str, split: int) -> DataFrame:
+    """df for a self-join on ``key`` in which no task gets a whole large group: with _p, _q and _b to be joined on together with the key.
+
+    A group of ``size`` (a column) members is cut into ceil(size / split) blocks by a hash of ``member``; _b is a row's block, and the row
+    comes out once for every pair (_p, _q) of blocks that has it. Rows of one block meet where _p = _q only: see ``once_in_blocks``.
+    """
+    blocks = F.greatest(F.ceil(F.col(size) / split), F.lit(1)).cast("int")
+    cut_up = df.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64(*key, member), F.col("_n")).cast("int"))
+    every = cut_up.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return every.withColumns({"_p": F.least("_b", "_o"), "_q": F.greatest("_b", "_o")}).drop("_n", "_o")
+
+
+def once_in_blocks(x: str, y: str) -> Column:
+    """Condition on a self-join of ``in_block_pairs`` (x, y: the columns with _b of the two sides) that keeps every pair of rows once."""
+    return (F.col("_p") == F.col("_q")) | (F.col(x) != F.col(y))
+
+
 def salted_key_stats(df: DataFrame, key: list[str], partner: str, pos: str, rows_per_salt: int | None = None) -> DataFrame:
     """Rows, distinct partners, first and last pos of every key, in two stages.
 
