@@ -1,8 +1,12 @@
 """Top N items within every group (problem 7): partition lower bounds.
 
-Each task sees its partition in Arrow batches and keeps, for every group, its N best items; the N-th is a lower bound for the N-th best of
-the whole group. The largest bound of a group then filters the survivors of all partitions, and the rest are ranked. A
-group with a third of all rows sends at most N rows from each partition.
+1. Each task reads its partition in Arrow batches and finds, for every group with N items or more in it, the N-th best: at least N items of the
+   group are as good, so it is a lower bound for the group. Only bounds leave the task, one row a group.
+2. The largest bound of each group is taken, and those of the groups with the most rows (at most ``PRUNED_GROUPS``) meet all rows in a broadcast,
+   before anything is shuffled; what is worse than its group's bound is dropped there. Bounds follow the whole order, score and
+   then item, so equal scores are cut as well.
+3. The survivors are shuffled once, by group, and ranked. A group with a third of all rows sends little more than its N best; groups that
+   aren't among the largest go as they are, and no task has to hold more of them than of the largest that was left out.
 """
 
 from __future__ import annotations
@@ -15,7 +19,8 @@ from pyspark.sql import functions as F
 from motifloom.llm.neighbor_rows import resolved_neighbors
 from motifloom.session import read
 
-BUFFER_ROWS = 2_000_000
+BUFFER_ROWS = 1_000_000
+PRUNED_GROUPS = 100_000
 
 
 def _best(group: np.ndarray, item: np.ndarray, score: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -35,51 +40,52 @@ def _best(group: np.ndarray, item: np.ndarray, score: np.ndarray, n: int) -> tup
     return group[keep], item[keep], score[keep], rank[keep]
 
 
-def _local_best(n: int):
-    def run(batches):
-        held, size = [], 0
+def _bounds(n: int):
+    """Per buffer of rows (g, i, s): (g, s, i, rows) with the N-th best of every group that has N items there, and the group's rows."""
 
-        def squeeze(held):
-            cols = [np.concatenate([h[i] for h in held]) for i in range(3)]
-            return _best(*cols, n)
+    def bounds(held):
+        g, i, s = (np.concatenate([h[k] for h in held]) for k in range(3))
+        group, item, score, rank = _best(g, i, s, n)
+        last = rank == n - 1
+        names, size = np.unique(g, return_counts=True)
+        size = size[np.searchsorted(names, group[last])]
+        return pa.RecordBatch.from_arrays([pa.array(group[last]), pa.array(score[last]), pa.array(item[last]), pa.array(size)], names=["g", "s", "i", "rows"])
 
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
             if batch.num_rows:
-                held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+                held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
                 size += batch.num_rows
             if size > BUFFER_ROWS:
-                held = [squeeze(held)[:3]]
-                size = max(len(held[0][0]), 0)
-                if size > BUFFER_ROWS // 2:  # many small groups: pass the buffer on as a partition of its own
-                    yield out(squeeze(held), n)
-                    held, size = [], 0
+                yield bounds(held)
+                held, size = [], 0
         if held:
-            yield out(squeeze(held), n)
-
-    def out(best, n):
-        group, item, score, rank = best
-        bound = np.where(rank == n - 1, score, np.nan)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(group, pa.int64()), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(bound, pa.float64(), from_pandas=True)],
-            names=["g", "i", "s", "bound"],
-        )
+            yield bounds(held)
 
     return run
 
 
-def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5) -> DataFrame:
+def survivors(clean: DataFrame, n: int, groups: int = PRUNED_GROUPS) -> DataFrame:
+    """The rows (g, i, s) that aren't worse than the bound of their group, where it is one of the ``groups`` with the most rows."""
+    local = clean.mapInArrow(_bounds(n), "g long, s double, i long, rows long")
+    best = local.groupBy("g").agg(F.max(F.struct("s", (-F.col("i")).alias("i"))).alias("b"), F.sum("rows").alias("rows"))
+    largest = best.orderBy(F.desc("rows"), "g").limit(groups).select("g", F.col("b.s").alias("bs"), (-F.col("b.i")).alias("bi"))
+    good = F.col("bs").isNull() | (F.col("s") > F.col("bs")) | ((F.col("s") == F.col("bs")) & (F.col("i") <= F.col("bi")))
+    return clean.join(F.broadcast(largest), "g", "left").filter(good).select("g", "i", "s")
+
+
+def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5, groups: int = PRUNED_GROUPS) -> DataFrame:
     """(group, item, score, rank) of the n items with the highest score in every group, all if fewer; ties go to the smaller item.
 
     group and item are whole numbers. An item listed more than once in a group counts once, with its highest score. Rows with a
     null in any of the three, or a NaN score, are left out; n < 1 and an empty table give no rows; other columns are ignored.
+    df is read twice.
     """
     clean = df.select(F.col(group).cast("long").alias("g"), F.col(item).cast("long").alias("i"), F.col(score).cast("double").alias("s"))
     clean = clean.dropna().filter(~F.isnan("s") & F.lit(n >= 1))
-    local = clean.mapInArrow(_local_best(max(n, 1)), "g long, i long, s double, bound double")
-    whole = Window.partitionBy("g")
-    alive = local.withColumn("bound", F.max("bound").over(whole)).filter(F.col("bound").isNull() | (F.col("s") >= F.col("bound")))
-    once = alive.groupBy("g", "i").agg(F.max("s").alias("s"))
-    ranked = once.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("s"), "i"))).filter(F.col("rank") <= n)
+    once = survivors(clean, max(n, 1), groups).repartition("g").groupBy("g", "i").agg(F.max("s").alias("s"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "i"))).filter(F.col("rank") <= n)
     kinds = {c: df.schema[c].dataType for c in (group, item, score)}
     return ranked.select(
         F.col("g").cast(kinds[group]).alias(group), F.col("i").cast(kinds[item]).alias(item), F.col("s").cast(kinds[score]).alias(score), "rank"

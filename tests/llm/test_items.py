@@ -8,7 +8,7 @@ import pytest
 
 from motifloom.llm.cooccur import cooccurring_pairs
 from motifloom.llm.sample import block_sample, sample_words
-from motifloom.llm.topn import top_n
+from motifloom.llm.topn import survivors, top_n
 
 
 def _brute_pairs(rows, support, lift):
@@ -91,18 +91,30 @@ def test_top_equals_brute_force(spark, monkeypatch, n):
         assert {tuple(r) for r in top_n(df.repartition(parts), "g", "item", "s", n).collect()} == _brute_top(rows, n)
 
 
-def test_top_passes_full_buffers_on(monkeypatch):
+@pytest.mark.parametrize("groups", [1, 3, 1000])
+def test_bounds_prune_hot_groups_before_the_shuffle(spark, monkeypatch, groups):
+    random.seed(6)
+    rows = [(0, k, float(k % 7)) for k in range(6000)] + [(1 + k % 50, k, random.random()) for k in range(3000)]
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "g long, i long, s double").repartition(6)
+    kept = survivors(df, 5, groups).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in kept}[0] < 60  # of 6,000 rows with many equal scores
+    assert {tuple(r) for r in top_n(df, "g", "i", "s", 5, groups).collect()} == _brute_top(rows, 5)
+
+
+def test_bounds_of_full_buffers(monkeypatch):
     import numpy as np
     import pyarrow as pa
 
     from motifloom.llm import topn
 
-    monkeypatch.setattr(topn, "BUFFER_ROWS", 50)
+    monkeypatch.setattr(topn, "BUFFER_ROWS", 500)
     rng = np.random.default_rng(1)
     g, i, s = rng.integers(0, 40, 2000), rng.integers(0, 100, 2000), rng.integers(0, 5, 2000).astype(float)
     batch = lambda k: pa.RecordBatch.from_arrays([pa.array(x[k : k + 37]) for x in (g, i, s)], names=["g", "i", "s"])
-    out = pa.Table.from_batches(list(topn._local_best(3)(batch(k) for k in range(0, 2000, 37))))
-    assert {x[:3] for x in _brute_top(zip(g.tolist(), i.tolist(), s.tolist()), 3)} <= set(zip(out["g"].to_pylist(), out["i"].to_pylist(), out["s"].to_pylist()))
+    out = pa.Table.from_batches(list(topn._bounds(3)(batch(k) for k in range(0, 2000, 37))))
+    best = {(g, rank): (s, -i) for g, i, s, rank in _brute_top(zip(g.tolist(), i.tolist(), s.tolist()), 3)}
+    assert out.num_rows > 40 and all((x["s"], -x["i"]) <= best[x["g"], 3] for x in out.to_pylist())
 
 
 def test_top_edges(spark):

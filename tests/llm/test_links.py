@@ -40,7 +40,7 @@ def _links():
     return links
 
 
-@pytest.mark.parametrize("bound", [components.BOUND, 40])
+@pytest.mark.parametrize("bound", [components.BOUND, 40, 3])
 def test_components(spark, bound):
     links = _links()
     df = spark.createDataFrame([(a, b, 1) for a, b in links], "c int, p int, node int").repartition(6)  # clashing names
@@ -48,6 +48,32 @@ def test_components(spark, bound):
     assert connected_components(df.limit(0), "c", "p", bound).collect() == []
 
 
+def test_components_take_several_levels(spark, monkeypatch):
+    """A chain in order of its ids, the worst case of passing labels on, with a star on top of it."""
+    links = [(k, k + 1) for k in range(3000)] + [(5, 10_000 + k) for k in range(1000)] + [(20_000 + 2 * k, 20_001 + 2 * k) for k in range(500)]
+    sizes, cut = [], components.cut
+
+    def counted(df):
+        out = cut(df)
+        if df.columns == ["c", "p", "child"]:
+            sizes.append(out.filter("child").count())
+        return out
+
+    monkeypatch.setattr(components, "cut", counted)
+    df = spark.createDataFrame(links, "a long, b long").repartition(16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else few bytes come together in one task
+    try:
+        assert {tuple(r) for r in connected_components(df, "a", "b", 20).collect()} == set(_components(links).items())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) >= 3 and all(y < x for x, y in zip(sizes, sizes[1:]))
+
+
+def test_names_are_found_again():
+    x = np.array([0, 1, -1, 2**62, 12345], dtype=np.int64)
+    assert (components.unmix(components.mix(x.view(np.uint64))).view(np.int64) == x).all()
+
+
 def test_spanning_forest():
     links = [(a, b) for a, b in _links() if None not in (a, b) and a != b]
     u, v = (np.array(x) for x in zip(*links))
