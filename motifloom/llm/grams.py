@@ -1,10 +1,13 @@
-"""Hashes of sliding character windows, for whole Arrow batches at once."""
+"""Hashes of sliding character windows, for whole Arrow batches at once, and a bitmap of a fixed size to look hashes up in."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
+BITS = 26  # log2 of the bits of a bitmap: 8 MB, whatever the size of the table
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,3 +42,20 @@ def window_hashes(texts: list[str], width: int, seed: int = 0) -> tuple[np.ndarr
     pos = np.arange(n) - starts[owner]
     inside = pos + width <= np.diff(starts)[owner]
     return owner[inside], pos[inside], mix(h[inside])
+
+
+def fixed_bitmap(df: DataFrame, hash_: str, bits: int = BITS) -> np.ndarray:
+    """A bitmap of 2 ** bits bits with those set that the 64-bit hashes of df fall on. Bits are set in parts of 2 ** 15 by Spark; the driver gets
+    2 ** bits / 8 bytes at most."""
+    bit = F.col(hash_).bitwiseAND((1 << bits) - 1)
+    parts = df.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND((1 << 15) - 1).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+    out = np.zeros((1 << (bits - 15), 1 << 12), dtype=np.uint8)
+    for row in parts.toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["map"], dtype=np.uint8)
+    return out.ravel()
+
+
+def has_bit(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes fall on a bit that is set."""
+    bit = h & U64(len(bitmap) * 8 - 1)
+    return (bitmap[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8)) & np.uint8(1) > 0

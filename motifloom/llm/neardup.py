@@ -6,7 +6,8 @@ coordinate keeps the least (round, value), and rounds stop as soon as all are fi
 probability equal to their Jaccard similarity, with concentration like that of independent draws.
 
 ``rows`` coordinates make a band; texts that agree in a band are candidates, and the Jaccard similarity of each is
-computed exactly from the whole window sets. Equal texts are one class: one representative is sketched, and the copies come back as members.
+computed exactly from the whole window sets of both texts. Equal texts are one class: one representative is sketched and compared, and the
+copies come back as members.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from pyspark.sql import functions as F
 
 from motifloom.llm.components import connected_components
 from motifloom.llm.grams import U64, mix, window_hashes
-from motifloom.operators.skew import hot_keys, lookup_join, normal_word
+from motifloom.operators.skew import hot_keys, in_block_pairs, lookup_join, normal_word, once_in_blocks
 from motifloom.session import cut, read
 
 BANDS, ROWS = 40, 2
 SPLIT = 512
-EXPAND_COPIES = 64
 
 
 def similarity_sketch(owner: np.ndarray, element: np.ndarray, n_sets: int, bins: int) -> np.ndarray:
@@ -43,99 +43,115 @@ def similarity_sketch(owner: np.ndarray, element: np.ndarray, n_sets: int, bins:
     return sketch.reshape(n_sets, bins)
 
 
-def _sketches(width: int, bands: int, rows: int, piece: int = 2048):
+def _distinct_windows(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text, hash) of the distinct windows of every text, in order."""
+    owner, _, h = window_hashes(texts, width)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], h[new]
+
+
+def _band_keys(width: int, bands: int, rows: int, piece: int = 2048):
+    """(key, rep, n) for every band of every text; n is the number of its distinct windows."""
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, piece):
                 part = batch.slice(at, piece)
-                owner, _, h = window_hashes(part.column(1).to_pylist(), width)
-                order = np.lexsort((h, owner))
-                owner, h = owner[order], h[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                owner, h = owner[new], h[new]
+                owner, h = _distinct_windows(part.column(1).to_pylist(), width)
+                size = np.bincount(owner, minlength=part.num_rows)
                 sketch = similarity_sketch(owner, h, part.num_rows, bands * rows).reshape(part.num_rows, bands, rows)
                 key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=U64)), (part.num_rows, bands)).copy()
                 for r in range(rows):
                     key = mix(key * U64(31) + sketch[:, :, r])
-                size = np.bincount(owner, minlength=part.num_rows)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
-                grams = pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))
-                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int32)), grams, keys], names=["rep", "n", "grams", "keys"])
-                yield out.filter(pa.array(size > 0))
+                some = np.flatnonzero(size)
+                of = np.repeat(some, bands)
+                cols = [pa.array(key[some].ravel().view(np.int64)), part.column(0).take(pa.array(of)), pa.array(size[of].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "rep", "n"])
+
+    return run
+
+
+def _similarities(width: int, threshold: float, piece: int = 4096):
+    """(a, b, similarity) of the pairs (a, b, text of a, text of b) that reach the threshold; every distinct text of a piece is hashed once."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, piece):
+                part = batch.slice(at, piece)
+                n = part.num_rows
+                both = pa.chunked_array([part.column(2), part.column(3)]).combine_chunks().dictionary_encode()
+                owner, h = _distinct_windows(both.dictionary.to_pylist(), width)
+                first = np.searchsorted(owner, np.arange(len(both.dictionary) + 1))
+                size = np.diff(first)
+                code = both.indices.to_numpy()
+                # the windows of both texts of a pair one after another; those that stand there twice are common
+                take = np.arange(size[code].sum()) - np.repeat(np.cumsum(size[code]) - size[code], size[code]) + np.repeat(first[code], size[code])
+                pair = np.repeat(np.tile(np.arange(n), 2), size[code])
+                order = np.lexsort((h[take], pair))
+                pair, grams = pair[order], h[take][order]
+                common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (grams[1:] == grams[:-1])], minlength=n)
+                union = size[code[:n]] + size[code[n:]] - common
+                similarity = common / np.maximum(union, 1)
+                near = pa.array(np.flatnonzero((similarity >= threshold - 1e-12) & (union > 0)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(near), part.column(1).take(near), pa.array(similarity).take(near)], names=["a", "b", "similarity"])
 
     return run
 
 
 def text_classes(df: DataFrame, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Texts and members: (rep, text) with one row a distinct text, rep its smallest id, and (id, rep) with one row an id."""
-    rows = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).dropna()
-    rows = cut(rows.groupBy("id").agg(F.min("text").alias("text")).withColumn("digest", F.md5("text")))
-    first = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.min("text").alias("text"))
-    members = lookup_join(rows.select("id", "digest"), first.select("digest", "rep"), "digest").select("id", "rep")
-    return first.select("rep", "text"), members
+    rows = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).dropna().groupBy("id").agg(F.min("text").alias("text"))
+    rows = cut(rows.withColumn("digest", F.unhex(F.md5("text"))))
+    first = rows.groupBy("digest").agg(F.min("id").alias("rep"))
+    members = lookup_join(rows.select("id", "digest"), first, "digest").select("id", "rep")
+    return rows.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "text"), members
 
 
 def candidate_pairs(keys: DataFrame, threshold: float, split: int = SPLIT) -> DataFrame:
-    """(a, b), a < b, of rows (rep, n, key) with a common key and sizes n that allow the threshold.
+    """(a, b), a < b, of rows (key, rep, n) with a common key and sizes n that allow the threshold; no row for keys that one row has.
 
-    Keys with more than ``split`` members are cut into blocks; a pair of blocks is a join key of its own, so that no task gets
-    a whole large bucket, and none is capped.
+    A key's members are cut into blocks of ``split``, and a pair of blocks is a join key of its own, so that no task gets a whole large bucket,
+    and none is capped. keys is read twice.
     """
-    large = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > split))
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    kept = in_block_pairs(lookup_join(keys, several, "key", hot=[]), ["key"], "rep", "m", split)
     fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
-    side = lambda df, s, *more: df.select("key", F.col("rep").alias(s), F.col("n").alias(f"n{s}"), *more)
-    if large.isEmpty():
-        return side(keys, "a").join(side(keys, "b"), "key").filter(fits).select("a", "b").distinct()
-    marked = lookup_join(keys, large, "key", "left").withColumn("nb", F.ceil(F.coalesce("m", F.lit(1)) / split).cast("int"))
-    marked = marked.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    spread = marked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spread = spread.select("key", "rep", "n", "blk", F.least("blk", "j").alias("i"), F.greatest("blk", "j").alias("j"))
-    x = spread.select("key", "i", "j", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("blk").alias("ba"))
-    y = spread.select("key", "i", "j", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("blk").alias("bb"))
-    once = (F.col("i") == F.col("j")) | (F.col("ba") != F.col("bb"))
-    return x.join(y, ["key", "i", "j"]).filter(once & fits).select("a", "b").distinct()
+    on = ["key", "_p", "_q"]
+    side = lambda s: kept.select(*on, F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("_b").alias(f"_{s}"))
+    return side("a").join(side("b"), on).filter(once_in_blocks("_a", "_b") & fits).select("a", "b").distinct()
 
 
 def similar_texts(texts: DataFrame, threshold: float, width: int = 4, bands: int = BANDS, rows: int = ROWS, split: int = SPLIT) -> DataFrame:
     """(a, b, similarity) of distinct texts (rep, text) whose sets of ``width``-character windows have a Jaccard similarity of at least
     ``threshold``. Texts shorter than a window have no set and no pairs. A pair at the threshold is missed with probability
-    (1 - threshold ** rows) ** bands, 1e-5 for 0.5 with the defaults; every reported pair is exact."""
+    (1 - threshold ** rows) ** bands, 1e-5 for 0.5 with the defaults; every reported pair is exact. texts is read several times: cut it first."""
     kind = texts.schema["rep"].dataType.simpleString()
-    sk = cut(texts.mapInArrow(_sketches(width, bands, rows), f"rep {kind}, n int, grams array<bigint>, keys array<bigint>"))
-    pairs = cut(candidate_pairs(sk.select("rep", "n", F.explode("keys").alias("key")), threshold, split))
-    grams = sk.select("rep", "grams")
+    keys = texts.mapInArrow(_band_keys(width, bands, rows), f"key bigint, rep {kind}, n int")
+    pairs = cut(candidate_pairs(keys, threshold, split))
     hot_a, hot_b = hot_keys(pairs, "a"), hot_keys(pairs, "b")
-    both = lookup_join(pairs, grams.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a", hot=hot_a)
-    both = lookup_join(both, grams.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b", hot=hot_b)
-    common = F.size(F.array_intersect("ga", "gb"))
-    both = both.select("a", "b", common.alias("c"), (F.size("ga") + F.size("gb")).alias("s"))
-    return both.withColumn("similarity", F.col("c") / (F.col("s") - F.col("c"))).filter(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
+    both = lookup_join(pairs, texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a", hot=hot_a)
+    both = lookup_join(both, texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b", hot=hot_b)
+    return both.select("a", "b", "ta", "tb").mapInArrow(_similarities(width, threshold), f"a {kind}, b {kind}, similarity double")
 
 
-def near_duplicate_pairs(df: DataFrame, id_: str, text: str, threshold: float = 0.5, width: int = 4, expand_copies: int = EXPAND_COPIES) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_: str, text: str, threshold: float = 0.5, width: int = 4, split: int = SPLIT) -> DataFrame:
     """(id_a, id_b) with id_a < id_b of all records whose texts are similar (see ``similar_texts``); ids are whole numbers.
 
-    Equal texts are similar too. Classes of up to ``expand_copies`` equal texts are written out pair by pair; of a larger class every
-    copy is linked with its representative, and only the representative with other texts. So a class that holds
-    a third of all rows gives as many rows as it has members, and no link between different texts is lost.
+    Equal texts are similar too. Representatives are compared, and the members of their classes are written out pair by pair, whatever the
+    size of a class, since this result is defined by records; classes are cut into blocks of ``split``, so no task writes a large
+    class. ``near_duplicate_groups`` gives the same links as one row a record, for data in which classes are large.
     Null ids or texts are left out, an id with several texts has its smallest, texts shorter than ``width`` have no pairs.
     """
     texts, members = text_classes(df.filter(F.length(text) >= width), id_, text)
-    members = cut(members)
-    pairs = similar_texts(cut(texts), threshold, width).select("a", "b")
-    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
-    several = cut(sizes.filter(F.col("m") > 1))
-    small = several.filter(F.col("m") <= expand_copies).select("rep")
-    few = members.join(small, "rep", "left_semi")  # members of small classes, representatives included
-    other = few.filter("id <> rep")
-    to = lambda s: few.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"))
-    cross = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"))
-    copies = few.select("rep", F.col("id").alias("x")).join(other.select("rep", F.col("id").alias("y")), "rep").filter("x < y").select("x", "y")
-    stars = lookup_join(members.filter("id <> rep"), several.filter(F.col("m") > expand_copies).select("rep"), "rep", "left_semi")
-    every = cross.unionByName(copies).unionByName(stars.select(F.col("rep").alias("x"), F.col("id").alias("y")))
-    return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    texts, members = cut(texts), cut(members)
+    pairs = similar_texts(texts, threshold, width, split=split).select("a", "b")
+    copies = candidate_pairs(members.select(F.col("rep").alias("key"), F.col("id").alias("rep"), F.lit(1).alias("n")), threshold, split)
+    of = lambda s: members.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"))
+    cross = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return cross.unionByName(copies.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
 
 
 def near_duplicate_groups(df: DataFrame, id_: str, text: str, threshold: float = 0.5, width: int = 4) -> DataFrame:

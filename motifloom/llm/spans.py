@@ -1,9 +1,15 @@
 """Long exact spans shared between records (problem 5): hashed units, grouped globally.
 
-The unit is the sliding window of ``length`` characters, so that spans are found wherever they begin. Every window is kept as a 128-bit
-digest with its record and offset. Digests are grouped over all records: a digest is shared if it occurs in two or more records, and its
-earliest ranked occurrence is that with the smallest (id, offset). Windows of shared digests, or for removal all but the earliest
-occurrences, are merged into maximal spans in the original offsets.
+Units are hashed in two sizes. The first is the whole text: records with the same text are grouped, and one of them stands for all. The second is
+the sliding window of ``length`` characters, so that spans are found wherever they begin:
+
+1. One 64-bit digest a window, with the first and last record it stands in, is combined and grouped over all texts. A digest is shared if it stands in two
+   records or more. Shared digests set a bit in a bitmap of a fixed size (``BITS``), which goes to the tasks.
+2. Windows whose bit is set, and no others, are shuffled with a second digest, their record and offset. Grouped by both digests they are
+   shared for certain or not; the earliest ranked occurrence is that with the smallest (id, offset). A bitmap that is
+   full for very large tables lets more windows through, and loses none.
+
+Windows of shared digests, or for removal all but the earliest occurrences, are merged into maximal spans in the original offsets.
 """
 
 from __future__ import annotations
@@ -13,28 +19,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifloom.llm.grams import window_hashes
-from motifloom.llm.neardup import WORDS, long_words
+from motifloom.llm.grams import fixed_bitmap, has_bit, window_hashes
+from motifloom.llm.neardup import WORDS, long_words, text_classes
 from motifloom.operators.skew import lookup_join
 from motifloom.session import cut
 
+STRETCH = 1 << 16
+
+
+def _digests(length: int, piece: int = 1024):
+    """(h1, rep, last) of every window of (rep, last, text)."""
 
-def _windows(length: int, piece: int = 1024):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, piece):
                 part = batch.slice(at, piece)
-                texts = part.column(1).to_pylist()
+                owner, _, h = window_hashes(part.column(2).to_pylist(), length, 1)
+                for x in range(0, len(owner), 1 << 20):
+                    of = pa.array(owner[x : x + (1 << 20)])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[x : x + (1 << 20)].view(np.int64)), part.column(0).take(of), part.column(1).take(of)], names=["h1", "rep", "last"])
+
+    return run
+
+
+def _windows(length: int, bits, piece: int = 1024):
+    """(h1, h2, rep, last, pos) of the windows of (rep, last, text) whose bit is set."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, piece):
+                part = batch.slice(at, piece)
+                texts = part.column(2).to_pylist()
                 owner, pos, h1 = window_hashes(texts, length, 1)
-                h2 = window_hashes(texts, length, 2)[2]
+                kept = np.flatnonzero(has_bit(bits.value, h1))
+                h2 = window_hashes(texts, length, 2)[2][kept]
+                owner, pos, h1 = owner[kept], pos[kept], h1[kept]
                 for x in range(0, len(owner), 1 << 20):
                     s = slice(x, x + (1 << 20))
-                    cols = [part.column(0).take(pa.array(owner[s])), pa.array(pos[s].astype(np.int32)), pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["id", "pos", "h1", "h2"])
+                    of = pa.array(owner[s])
+                    cols = [pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(pos[s].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "rep", "last", "pos"])
 
     return run
 
 
+def _runs(marked: DataFrame, length: int) -> DataFrame:
+    """(id, span_start, span_end): maximal runs of the windows (id, pos). Windows are merged inside stretches of a record first, then the runs of its stretches,
+    so that a task never sorts all windows of a very long record."""
+    start, end = F.col("span_start"), F.col("span_end")
+
+    def merged(df, *keys):
+        w = Window.partitionBy("id", *keys).orderBy("span_start")
+        until = F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        run = F.sum((until.isNull() | (start > until)).cast("int")).over(w)
+        return df.withColumn("_run", run).groupBy("id", *keys, "_run").agg(F.min(start).alias("span_start"), F.max(end).alias("span_end")).drop("_run")
+
+    at = marked.select("id", F.col("pos").alias("span_start"), (F.col("pos") + length).alias("span_end")).withColumn("_s", F.floor(F.col("span_start") / STRETCH))
+    return merged(merged(at, "_s").drop("_s"))
+
+
 def shared_spans(df: DataFrame, id_: str, text: str, length: int = 15, keep_first: bool = False) -> DataFrame:
     """(id, span_start, span_end): maximal runs of characters in windows of ``length`` that stand in another record as well.
 
@@ -42,26 +85,31 @@ def shared_spans(df: DataFrame, id_: str, text: str, length: int = 15, keep_firs
     Offsets are 0-based, span_end is exclusive. Null ids or texts are left out, an id with several texts has its smallest; records shorter than a
     window have no spans; a window that repeats within one record only isn't shared.
     """
-    rows = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).dropna().groupBy("id").agg(F.min("text").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    windows = cut(rows.filter(F.length("text") >= length).mapInArrow(_windows(length), f"id {kind}, pos int, h1 bigint, h2 bigint"))
-    digests = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"))
-    shared = digests.filter(F.col("first.id") < F.col("last")).select("h1", F.col("h2").alias("h2s"), "first")
-    marked = lookup_join(windows, shared, "h1").filter(F.col("h2") == F.col("h2s"))
+    texts, members = text_classes(df.filter(F.length(text) >= length), id_, text)
+    members = cut(members)
+    classes = members.groupBy("rep").agg(F.max("id").alias("last"))
+    units = cut(texts.join(classes, "rep").select("rep", "last", "text"))
+    kind = units.schema["rep"].dataType.simpleString()
+    digests = units.mapInArrow(_digests(length), f"h1 bigint, rep {kind}, last {kind}").groupBy("h1").agg(F.min("rep").alias("rep"), F.max("last").alias("last"))
+    bits = df.sparkSession.sparkContext.broadcast(fixed_bitmap(digests.filter("rep < last"), "h1"))
+    windows = cut(units.mapInArrow(_windows(length, bits), f"h1 bigint, h2 bigint, rep {kind}, last {kind}, pos int"))
+    seen = windows.groupBy("h1", "h2").agg(F.min(F.struct("rep", "pos")).alias("first"), F.max("last").alias("last"))
+    shared = seen.filter(F.col("first.rep") < F.col("last")).select("h1", "h2", "first")
+    marked = windows.select("h1", "h2", F.col("rep").alias("id"), "pos").join(shared, ["h1", "h2"])
     if keep_first:
-        marked = marked.filter((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
-    record = Window.partitionBy("id").orderBy("pos")
-    previous = F.lag("pos").over(record)
-    runs = marked.select("id", "pos", (previous.isNull() | (F.col("pos") > previous + length)).cast("int").alias("new"))
-    runs = runs.withColumn("run", F.sum("new").over(record))
-    spans = runs.groupBy("id", "run").agg(F.min("pos").alias("span_start"), (F.max("pos") + length).alias("span_end"))
-    return spans.select("id", "span_start", "span_end")
+        marked = marked.filter((F.col("id") != F.col("first.rep")) | (F.col("pos") != F.col("first.pos")))
+    spans = _runs(marked.select("id", "pos"), length)
+    # a copy shares its whole text with the record that stands for it
+    whole = texts.select("rep", F.length("text").alias("n"))
+    copies = lookup_join(members.filter("id <> rep"), whole, "rep").select("id", F.lit(0).alias("span_start"), F.col("n").alias("span_end"))
+    return spans.unionByName(copies)
 
 
 def shared_share(df: DataFrame, id_: str, text: str, length: int = 15) -> DataFrame:
     """One row for each record with a text: (id, n_chars, shared_chars, share), share 0.0 for an empty text."""
     rows = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).dropna().groupBy("id").agg(F.min("text").alias("text"))
-    spans = shared_spans(df, id_, text, length).groupBy("id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared"))
+    rows = cut(rows)
+    spans = shared_spans(rows, "id", "text", length).groupBy("id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared"))
     out = rows.select("id", F.length("text").cast("long").alias("n_chars")).join(spans, "id", "left")
     out = out.withColumn("shared_chars", F.coalesce("shared", F.lit(0)).cast("long")).drop("shared")
     return out.withColumn("share", F.round(F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0), 9))

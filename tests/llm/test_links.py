@@ -119,10 +119,6 @@ def test_near_duplicates(spark):
                 want.add((i, j))
     got = [tuple(r) for r in near_duplicate_pairs(df, "id", "text").collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
-    # classes that are too large to write out: links of every copy with its representative, and representatives with other texts
-    few = {tuple(r) for r in near_duplicate_pairs(df, "id", "text", expand_copies=1).collect()}
-    rep = {i: min(j for j, t in ids if t == s) for i, s in ids}
-    assert few == {(i, j) for i, j in want if (i, j) == (rep[i], rep[j])} | {(r, i) for i, r in rep.items() if r != i and (r, i) in want}
     groups = {r.id: r for r in near_duplicate_groups(df, "id", "text").collect()}
     label = _components(want)
     assert {i: r.group_id for i, r in groups.items()} == {i: label.get(i, i) for i, _ in ids}
@@ -131,8 +127,23 @@ def test_near_duplicates(spark):
     assert near_duplicate_pairs(df.limit(0), "id", "text").collect() == [] == near_duplicate_groups(df.limit(0), "id", "text").collect()
 
 
+def test_large_classes_keep_all_their_pairs(spark):
+    texts = _texts(9)
+    near = texts[0][:30] + "K" + texts[0][31:]
+    rows = [(k, texts[0]) for k in range(70)] + [(100 + k, near) for k in range(66)] + [(300, texts[1])]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(5)
+    a, b = _grams(texts[0]), _grams(near)
+    assert len(a & b) >= 0.5 * len(a | b)
+    want = {(i, j) for i, s in rows for j, t in rows if i < j and 300 not in (i, j)}
+    for split in (512, 16):
+        got = [tuple(r) for r in near_duplicate_pairs(df, "id", "text", split=split).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    groups = {r.id: r for r in near_duplicate_groups(df, "id", "text").collect()}
+    assert groups[69].class_id == 0 and groups[165].class_id == 100 and groups[165].group_id == 0 and groups[165].n_links == 1
+
+
 def test_large_buckets_are_split_without_loss(spark):
-    keys = spark.createDataFrame([(i, 10 + i % 3, 1) for i in range(150)] + [(i, 10, 2) for i in range(5)] + [(999, 10, 3)], "rep int, n int, key long")
+    keys = spark.createDataFrame([(i, 10 + i % 3, 1) for i in range(150)] + [(i, 10, 2) for i in range(5)] + [(999, 10, 3)], "rep int, n int, key long").select("key", "rep", "n")
     whole = {tuple(r) for r in candidate_pairs(keys, 0.9, split=1000).collect()}
     parts = [tuple(r) for r in candidate_pairs(keys, 0.9, split=20).collect()]
     assert set(parts) == whole and len(parts) == len(whole)
@@ -196,6 +207,28 @@ def test_spans(spark, keep_first):
     assert shared_spans(df.limit(0), "id", "text").collect() == []
 
 
+def test_spans_with_a_full_bitmap(spark, monkeypatch):
+    from motifloom.llm import spans
+
+    monkeypatch.setattr(spans, "fixed_bitmap", lambda df, h: np.full(1 << 12, 255, np.uint8))
+    monkeypatch.setattr(spans, "STRETCH", 8)
+    rows = {1: "ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 3, 2: "xx" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 2, 3: "JKLMNOPQRSTUVWXYZABCDEF", 4: "q" * 40, 5: "ABCDEFGHIJKLMNO" + "-" * 20 + "KLMNOPQRSTUVWXYZ", 9: "q" * 40}
+    df = spark.createDataFrame(list(rows.items()), "id int, text string")
+    for first in (False, True):
+        got = [tuple(r) for r in shared_spans(df, "id", "text", 15, first).collect()]
+        assert set(got) == _brute_spans(rows, 15, first) and len(got) == len(set(got))
+
+
+def test_bitmap(spark):
+    from motifloom.llm.grams import fixed_bitmap, has_bit
+
+    h = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 500)
+    bits = fixed_bitmap(spark.createDataFrame([(int(x),) for x in h[:250]], "h long"), "h")
+    found = has_bit(bits, h.view(np.uint64))
+    assert bits.nbytes == 1 << 23 and found[:250].all() and found[250:].sum() < 3
+    assert not has_bit(fixed_bitmap(spark.createDataFrame([], "h long"), "h"), h.view(np.uint64)).any()
+
+
 def test_share(spark):
     df = spark.createDataFrame([(1, "ABCDEFGHIJKLMNOPQRST"), (2, "xxABCDEFGHIJKLMNO"), (3, ""), (4, None)], "id int, text string")
     got = {r.id: (r.n_chars, r.shared_chars, r.share) for r in shared_share(df, "id", "text").collect()}
