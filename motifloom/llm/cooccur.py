@@ -5,11 +5,13 @@ further ones count as light, which changes the path but not the result).
 
 * heavy with heavy: records are spread over blocks of about ``BLOCK_RECORDS``; a block is a dense bit matrix, and the popcounts of
   the ANDed rows are summed over blocks;
-* light with light: pairs within a record, counted by hash aggregation with combining before the shuffle;
-* light with heavy: each light item's records are probed in the records' heavy lists.
+* light with light: pairs within a record, counted by hash aggregation with combining before the shuffle; a record's light items are
+  cut into blocks of ``BLOCK_ITEMS``, and each pair of blocks is a task's work of its own, so that a record with very many is spread;
+* light with heavy: each light item's records are probed in the records' heavy lists, of at most ``MAX_HEAVY`` items; items of records with very many
+  stay where they are and meet the lists of those records in a broadcast.
 
 With a support of at least s, the s - 1 records with the most items ("big" records) alone can't make a pair frequent. So
-their pairs are never written out: a pair found in the other records gets what the big ones add from one bit mask an item.
+pairs of up to 62 of them are never written out: a pair found in the other records gets what these add from one bit mask an item.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motifloom.operators.skew import normal_frag
+from motifloom.operators.skew import hot_keys, in_block_pairs, lookup_join, normal_frag, once_in_blocks
 from motifloom.session import cut, read
 
 HEAVY_SHARE = 256
 MAX_HEAVY = 1024
 BLOCK_RECORDS = 65_536
 BIG_RECORD_ITEMS = 256
+BLOCK_ITEMS = 512
 
 
 def _block_counts(table: pa.Table) -> pa.Table:
@@ -53,6 +56,7 @@ def _block_counts(table: pa.Table) -> pa.Table:
 def cooccurring_pairs(
     df: DataFrame, record: str, item: str, min_support: int = 30, min_lift: float = 6.0, max_heavy: int = MAX_HEAVY, heavy_share: int = HEAVY_SHARE,
     block_records: int = BLOCK_RECORDS, big_record_items: int = BIG_RECORD_ITEMS,
+    block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """Pairs of items with n_ab >= min_support common records and n_ab * N >= min_lift * n_a * n_b, N the number of records.
 
@@ -91,17 +95,16 @@ def cooccurring_pairs(
     )
 
     usual = kept.filter(~F.col("record").isin(big)) if big else kept
+    hot_records = [r for r in hot_keys(rows, "record") if r not in big]
     light = usual.filter(F.col("hid").isNull()).select("record", "item")
-    ll = (
-        light.select("record", F.col("item").alias("x"))
-        .join(light.select("record", F.col("item").alias("y")), "record")
-        .filter(F.col("x") < F.col("y"))
-        .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("n_ab"))
-    )
+    held = light.groupBy("record").agg(F.count(F.lit(1)).alias("n"))
+    sized = in_block_pairs(lookup_join(light, held.filter("n > 1"), "record", hot=hot_records), ["record"], "item", "n", block_items)
+    on = ["record", "_p", "_q"]
+    side = lambda c, b: sized.select(*on, F.col("item").alias(c), F.col("_b").alias(b))
+    ll = side("x", "_x").join(side("y", "_y"), on).filter(once_in_blocks("_x", "_y") & (F.col("x") < F.col("y"))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_ab"))
     lists = usual.filter(F.col("hid").isNotNull()).groupBy("record").agg(F.collect_list("hid").alias("hids"))
     lh = (
-        light.join(lists, "record")
+        lookup_join(light, lists, "record", hot=hot_records)
         .select(F.col("item").alias("x"), F.explode("hids").alias("hid"))
         .groupBy("x", "hid")
         .agg(F.count(F.lit(1)).alias("n_ab"))

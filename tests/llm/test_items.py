@@ -25,7 +25,7 @@ def _brute_pairs(rows, support, lift):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"max_heavy": 3}, {"heavy_share": 1}, {"block_records": 16}, {"big_record_items": 5}, {"heavy_share": 8, "big_record_items": 5, "block_records": 64}])
+@pytest.mark.parametrize("options", [{}, {"max_heavy": 3}, {"heavy_share": 1}, {"block_records": 16}, {"big_record_items": 5}, {"heavy_share": 8, "big_record_items": 5, "block_records": 64}, {"max_heavy": 0, "block_items": 3}])
 def test_pairs_equal_brute_force(spark, options):
     random.seed(2)
     rows = [(r, f"i{int(random.paretovariate(0.7)) % 25:02d}") for r in range(300) for _ in range(random.randint(1, 5))]
