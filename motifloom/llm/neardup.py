@@ -43,57 +43,54 @@ def similarity_sketch(owner: np.ndarray, element: np.ndarray, n_sets: int, bins:
     return sketch.reshape(n_sets, bins)
 
 
+PIECE = 2048  # texts or pairs that are worked on together
+_LOW = U64(52)  # a text's or pair's place in a piece stands above 52 bits of a window's hash
+
+
 def _distinct_windows(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, hash) of the distinct windows of every text, in order."""
+    """(index of the text, hash of 52 bits) of the distinct windows of each of at most 4,096 texts, in order."""
     owner, _, h = window_hashes(texts, width)
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return owner[new], h[new]
+    key = np.unique((owner.astype(U64) << _LOW) | (h >> U64(12)))
+    return (key >> _LOW).astype(np.int64), key & ((U64(1) << _LOW) - U64(1))
 
 
-def _band_keys(width: int, bands: int, rows: int, piece: int = 2048):
-    """(key, rep, n) for every band of every text; n is the number of its distinct windows."""
+def _sketches(width: int, bands: int, rows: int):
+    """(rep, n, keys) of every text with windows: the number of its distinct windows and one key a band."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, piece):
-                part = batch.slice(at, piece)
+            for at in range(0, batch.num_rows, PIECE):
+                part = batch.slice(at, PIECE)
                 owner, h = _distinct_windows(part.column(1).to_pylist(), width)
                 size = np.bincount(owner, minlength=part.num_rows)
                 sketch = similarity_sketch(owner, h, part.num_rows, bands * rows).reshape(part.num_rows, bands, rows)
                 key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=U64)), (part.num_rows, bands)).copy()
                 for r in range(rows):
                     key = mix(key * U64(31) + sketch[:, :, r])
-                some = np.flatnonzero(size)
-                of = np.repeat(some, bands)
-                cols = [pa.array(key[some].ravel().view(np.int64)), part.column(0).take(pa.array(of)), pa.array(size[of].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "rep", "n"])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int32)), keys], names=["rep", "n", "keys"]).filter(pa.array(size > 0))
 
     return run
 
 
-def _similarities(width: int, threshold: float, piece: int = 4096):
+def _similarities(width: int, threshold: float):
     """(a, b, similarity) of the pairs (a, b, text of a, text of b) that reach the threshold; every distinct text of a piece is hashed once."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, piece):
-                part = batch.slice(at, piece)
+            for at in range(0, batch.num_rows, PIECE):
+                part = batch.slice(at, PIECE)
                 n = part.num_rows
                 both = pa.chunked_array([part.column(2), part.column(3)]).combine_chunks().dictionary_encode()
                 owner, h = _distinct_windows(both.dictionary.to_pylist(), width)
                 first = np.searchsorted(owner, np.arange(len(both.dictionary) + 1))
-                size = np.diff(first)
                 code = both.indices.to_numpy()
+                size = np.diff(first)[code]
                 # the windows of both texts of a pair one after another; those that stand there twice are common
-                take = np.arange(size[code].sum()) - np.repeat(np.cumsum(size[code]) - size[code], size[code]) + np.repeat(first[code], size[code])
-                pair = np.repeat(np.tile(np.arange(n), 2), size[code])
-                order = np.lexsort((h[take], pair))
-                pair, grams = pair[order], h[take][order]
-                common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (grams[1:] == grams[:-1])], minlength=n)
-                union = size[code[:n]] + size[code[n:]] - common
+                take = np.arange(size.sum()) + np.repeat(first[code] - np.cumsum(size) + size, size)
+                key = np.sort((np.repeat(np.tile(np.arange(n), 2), size).astype(U64) << _LOW) | h[take])
+                common = np.bincount((key[1:][key[1:] == key[:-1]] >> _LOW).astype(np.int64), minlength=n)
+                union = size[:n] + size[n:] - common
                 similarity = common / np.maximum(union, 1)
                 near = pa.array(np.flatnonzero((similarity >= threshold - 1e-12) & (union > 0)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(near), part.column(1).take(near), pa.array(similarity).take(near)], names=["a", "b", "similarity"])
@@ -129,8 +126,8 @@ def similar_texts(texts: DataFrame, threshold: float, width: int = 4, bands: int
     ``threshold``. Texts shorter than a window have no set and no pairs. A pair at the threshold is missed with probability
     (1 - threshold ** rows) ** bands, 1e-5 for 0.5 with the defaults; every reported pair is exact. texts is read several times: cut it first."""
     kind = texts.schema["rep"].dataType.simpleString()
-    keys = texts.mapInArrow(_band_keys(width, bands, rows), f"key bigint, rep {kind}, n int")
-    pairs = cut(candidate_pairs(keys, threshold, split))
+    sketches = cut(texts.mapInArrow(_sketches(width, bands, rows), f"rep {kind}, n int, keys array<bigint>"))
+    pairs = cut(candidate_pairs(sketches.select(F.explode("keys").alias("key"), "rep", "n"), threshold, split))
     hot_a, hot_b = hot_keys(pairs, "a"), hot_keys(pairs, "b")
     both = lookup_join(pairs, texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a", hot=hot_a)
     both = lookup_join(both, texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b", hot=hot_b)

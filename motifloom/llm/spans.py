@@ -93,8 +93,8 @@ def shared_spans(df: DataFrame, id_: str, text: str, length: int = 15, keep_firs
     digests = units.mapInArrow(_digests(length), f"h1 bigint, rep {kind}, last {kind}").groupBy("h1").agg(F.min("rep").alias("rep"), F.max("last").alias("last"))
     bits = df.sparkSession.sparkContext.broadcast(fixed_bitmap(digests.filter("rep < last"), "h1"))
     windows = cut(units.mapInArrow(_windows(length, bits), f"h1 bigint, h2 bigint, rep {kind}, last {kind}, pos int"))
-    seen = windows.groupBy("h1", "h2").agg(F.min(F.struct("rep", "pos")).alias("first"), F.max("last").alias("last"))
-    shared = seen.filter(F.col("first.rep") < F.col("last")).select("h1", "h2", "first")
+    first = [F.min(F.struct("rep", "pos")).alias("first")] if keep_first else []
+    shared = windows.groupBy("h1", "h2").agg(F.min("rep").alias("least"), F.max("last").alias("last"), *first).filter("least < last").drop("least", "last")
     marked = windows.select("h1", "h2", F.col("rep").alias("id"), "pos").join(shared, ["h1", "h2"])
     if keep_first:
         marked = marked.filter((F.col("id") != F.col("first.rep")) | (F.col("pos") != F.col("first.pos")))
