@@ -98,8 +98,9 @@ def cooccurring_pairs(
     hot_records = [r for r in hot_keys(rows, "record") if r not in big]
     light = usual.filter(F.col("hid").isNull()).select("record", "item")
     held = light.groupBy("record").agg(F.count(F.lit(1)).alias("n"))
-    sized = in_block_pairs(lookup_join(light, held.filter("n > 1"), "record", hot=hot_records), ["record"], "item", "n", block_items)
     on = ["record", "_p", "_q"]
+    sized = in_block_pairs(lookup_join(light, held.filter("n > 1"), "record", hot=hot_records), ["record"], "item", "n", block_items)
+    sized = sized.select(*on, "item", "_b").repartition(*on)  # one shuffle for both sides
     side = lambda c, b: sized.select(*on, F.col("item").alias(c), F.col("_b").alias(b))
     ll = side("x", "_x").join(side("y", "_y"), on).filter(once_in_blocks("_x", "_y") & (F.col("x") < F.col("y"))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_ab"))
     lists = usual.filter(F.col("hid").isNotNull()).groupBy("record").agg(F.collect_list("hid").alias("hids"))

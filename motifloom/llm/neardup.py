@@ -114,9 +114,9 @@ def candidate_pairs(keys: DataFrame, threshold: float, split: int = SPLIT) -> Da
     and none is capped. keys is read twice.
     """
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    kept = in_block_pairs(lookup_join(keys, several, "key", hot=[]), ["key"], "rep", "m", split)
-    fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
     on = ["key", "_p", "_q"]
+    kept = in_block_pairs(lookup_join(keys, several, "key", hot=[]), ["key"], "rep", "m", split).select(*on, "rep", "n", "_b").repartition(*on)  # one shuffle for both sides
+    fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
     side = lambda s: kept.select(*on, F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("_b").alias(f"_{s}"))
     return side("a").join(side("b"), on).filter(once_in_blocks("_a", "_b") & fits).select("a", "b").distinct()
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from motifloom.llm.languages import KernelModel, document_languages, fit, grams, label_language, prose_languages
-from motifloom.llm.leaks import ItemIndex, _windows_of, cgk_embed, edit_distance, leaked_items, signatures
+from motifloom.llm.leaks import END, _windows_of, cgk_embed, edit_distance, leaked_items, signatures, span_signatures, word_codes
 from motifloom.llm.mail import blocks, units
 from motifloom.llm.packing import TOKENIZER, pack_windows, shortest_pack_first, token_counts
 
@@ -116,9 +116,20 @@ def test_embedding_and_distance():
 
 
 def test_windows_of():
-    assert _windows_of(np.array([1, 2, 3, -1, 4, 0, 5]), 3, 0).tolist() == [0]
-    assert _windows_of(np.array([1, 2, 3, -1, 4, 0, 5]), 3, 1).tolist() == [0, 4]
-    assert _windows_of(np.array([1]), 3, 1).size == 0
+    codes = np.array([1, 2, 3, END, 4, 9, 5])
+    odd = codes == 9
+    assert _windows_of(codes, 3, odd, 0).tolist() == [0] and _windows_of(codes, 3, odd, 1).tolist() == [0, 4]
+    assert _windows_of(codes[:1], 3, odd[:1], 1).size == 0
+
+
+def test_word_codes():
+    texts = ["Straße, 12a_b\0c", "", "straße 12A b?C", "-- \n", "𝐀𝐛 ǅ İx"]
+    codes, owner = word_codes(texts)
+    per = [codes[owner == k].tolist() for k in range(len(texts))]
+    assert per[0] == per[2] and len(per[0]) == 5 and per[1] == per[3] == [END]
+    assert [len(p) - 1 for p in per] == [len(re.findall(r"[^\W_]+", t.lower())) for t in texts] and word_codes([])[0].size == 0
+    vocab = [f"w{k}x{k * k}" for k in range(20_000)]
+    assert len(set(word_codes([" ".join(vocab)])[0].tolist())) == 20_001 and word_codes(["ab ba"])[0][0] != word_codes(["ab ba"])[0][1]
 
 
 def test_leaks(spark):
@@ -141,8 +152,8 @@ def test_leaks(spark):
     d = spark.createDataFrame([(k, t, 1) for k, t in docs.items()] + [(None, "From: x\n\n" + say(item[0]), 1), (1, docs[1], 1)], "id long, text string, item int")
     i = spark.createDataFrame([(k, say(w)) for k, w in item.items()] + [(None, say(item[0])), (0, say(item[0])), (50, None)], "item_id long, t string")
     want = {(1, 0): 0, (1, 8): 0, (4, 4): 0, (5, 5): 0, (6, 3): 1, (10, 6): 0}
-    for words in (10**6, 100):
-        got = {(r.id, r.item): r.edits for r in leaked_items(d.repartition(3), "id", "text", i, "item_id", "t", query_words=words).collect()}
+    for parts in (1, 3):
+        got = {(r.id, r.item): r.edits for r in leaked_items(d.repartition(parts), "id", "text", i, "item_id", "t").collect()}
         assert {k: v for k, v in got.items() if v == 0 or k == (6, 3)} == want and set(got) - set(want) <= {(2, 1), (2, 8), (9, 2)}
     assert leaked_items(d.limit(0), "id", "text", i, "item_id", "t").collect() == [] == leaked_items(d, "id", "text", i.limit(0), "item_id", "t").collect()
 
@@ -176,19 +187,19 @@ def test_leaks_by_inserted_and_dropped_words(spark):
     assert got == want and {10 * p + k for p in range(1, 11) for k in range(3)} <= set(want)
 
 
-def test_index_finds_edited_windows():
-    vocab = _words(500, 3)
-    rows = [(k, [vocab[(k * 13 + j * 7) % 500] for j in range(40)]) for k in range(20)]
-    index = ItemIndex(rows, 12, 10, 5)
+def test_recall_of_single_edits():
     rng = np.random.default_rng(4)
-    found = 0
-    for _ in range(300):
-        w = int(rng.integers(len(index.windows)))
-        x = index.windows[w].astype(np.int64).copy()
-        x[rng.integers(12)] = 0
-        row, win = index.candidates(signatures(x[None, :], 10, 5))
-        found += w in win
-    assert found >= 270
+    base = rng.integers(1, 2**60, (3000, 12))
+    row, at, new = np.arange(3000), rng.integers(1, 11, 3000), rng.integers(1, 2**60, 3000)
+    keep = np.arange(12) != at[:, None]
+    changed = base.copy()
+    changed[row, at] = new
+    shorter = base[keep].reshape(3000, 11)
+    longer = np.insert(base.ravel(), row * 12 + at, new).reshape(3000, 13)
+    item = signatures(base)
+    for edited in (changed, shorter, longer):
+        found = (span_signatures(edited, 12, (edited.shape[1],))[0] == item).any(axis=1).mean()
+        assert found >= 0.99, edited.shape
 
 
 @needs_data
