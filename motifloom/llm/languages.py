@@ -91,20 +91,27 @@ class KernelModel:
         self.languages = sorted(set(labels))
         text, gram, _ = grams(texts)
         known, col = np.unique(gram, return_inverse=True)
-        x = np.zeros((len(texts), len(known)), dtype=np.float32)
-        x[text, col] = 1
-        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        step = max(1, len(texts) // landmarks)
-        marks = x[::step][:landmarks]
-        k_mm = (marks @ marks.T).astype(np.float64)
-        value, vector = np.linalg.eigh(k_mm)
+        norm = np.sqrt(np.maximum(np.bincount(text, minlength=len(texts)), 1))
+        first = np.searchsorted(text, np.arange(len(texts) + 1))
+        marks = np.arange(0, len(texts), max(1, len(texts) // landmarks))[:landmarks]
+        k_xm = np.zeros((len(texts), len(marks)))
+        has = np.zeros(len(known), dtype=bool)
+        for k, m in enumerate(marks):  # the n-grams of a text are kept as lists, so memory grows with the texts and not with all n-grams
+            mine = col[first[m] : first[m + 1]]
+            has[mine] = True
+            k_xm[:, k] = np.bincount(text, has[col], minlength=len(texts)) / (norm * norm[m])
+            has[mine] = False
+        value, vector = np.linalg.eigh(k_xm[marks])
         kept = value > 1e-6 * value.max()
         root = vector[:, kept] / np.sqrt(value[kept])
-        z = (x @ marks.T).astype(np.float64) @ root
+        z = k_xm @ root
         y = np.array([[1.0 if lang == a else -1.0 for a in self.languages] for lang in labels])
         w = np.linalg.solve(z.T @ z + ridge * len(texts) * np.eye(z.shape[1]) / 100, z.T @ y)
         self.known = known.astype(np.int64)
-        self.weights = (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32)  # n-grams by languages
+        of_mark = (root @ w) / norm[marks][:, None]
+        self.weights = np.zeros((len(known), len(self.languages)), dtype=np.float32)  # n-grams by languages
+        for k, m in enumerate(marks):
+            self.weights[col[first[m] : first[m + 1]]] += of_mark[k]
         self._row: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
@@ -120,7 +127,12 @@ class KernelModel:
         row = self._row[gram]
         hit = row > 0
         text, row = text[hit], row[hit].astype(np.int64) - 1
-        out = np.stack([np.bincount(text, self.weights[row, k], minlength=len(texts)) for k in range(len(self.languages))], axis=1)
+        # (texts by n-grams, sparse) times (n-grams by languages): the rows of a text's n-grams are summed
+        out = np.zeros((len(texts), len(self.languages)))
+        begin = np.searchsorted(text, np.arange(len(texts)))
+        some = np.flatnonzero(np.bincount(text, minlength=len(texts)))
+        if len(some):
+            out[some] = np.add.reduceat(self.weights[row], begin[some], axis=0)
         return out / np.sqrt(np.maximum(total, 1))[:, None], words
 
     def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections import defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,21 +31,23 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(name: str):
+    """The vocabulary that ``token_counts`` has sent to this worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(SparkFiles.get(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(df: DataFrame, id_: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, n_tokens) of every record with a text; tokenizer: path of a .tiktoken vocabulary, read by each worker."""
+    """(id, n_tokens) of every record with a text; tokenizer: path of a .tiktoken vocabulary that the driver can read and sends to the workers."""
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        enc = _encoding(tokenizer)
-        return texts.map(lambda t: len(enc.encode_ordinary(t)))
+        return pd.Series([len(t) for t in _encoding(name).encode_ordinary_batch(texts.tolist(), num_threads=1)], dtype="int64")
 
     rows = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).dropna()
     return rows.select("id", count("text").alias("n_tokens"))
@@ -120,11 +125,11 @@ def pack_windows(lengths: DataFrame, id_: str, n: str, capacity: int = CAPACITY,
     for packs, held in shortest_pack_first(histogram, capacity):
         offset = 0
         for length, each in held.items():
-            slots.append((length, used[length], used[length] + packs * each, base, each, offset))
+            slots.append((length, used[length], base, each, offset))
             used[length] += packs * each
             offset += length * each
         base += packs
-    plan = spark.createDataFrame(slots, "len int, lo long, hi long, base long, each int, offset int")
+    place_of = _placer(np.array(sorted(slots), dtype=np.int64).reshape(-1, 5))
     shards = max(1, -(-max(histogram.values(), default=0) // ranks_per_shard))
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     sizes = sharded.groupBy("len", "shard").agg(F.count(F.lit(1)).alias("c"))
@@ -132,12 +137,28 @@ def pack_windows(lengths: DataFrame, id_: str, n: str, capacity: int = CAPACITY,
     sizes = sizes.select("len", "shard", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("len", "shard").orderBy("id", "piece")) - 1
     ranked = sharded.withColumn("place", place).join(sizes, ["len", "shard"]).withColumn("rank", F.col("before") + F.col("place"))
-    inside = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    found = ranked.join(plan, "len").filter(inside).withColumn("k", F.col("rank") - F.col("lo"))
-    return found.select(
-        "id", "piece", "piece_start", F.col("len").alias("n_tokens"), (F.col("base") + F.floor(F.col("k") / F.col("each"))).alias("window_id"),
-        (F.col("offset") + (F.col("k") % F.col("each")) * F.col("len")).cast("int").alias("window_offset"),
-    )
+    found = ranked.withColumn("at", place_of("len", "rank"))
+    return found.select("id", "piece", "piece_start", F.col("len").alias("n_tokens"), F.col("at.window_id").alias("window_id"), F.col("at.window_offset").alias("window_offset"))
+
+
+def _placer(slots: np.ndarray):
+    """A function of (len, rank): window and offset of the item of that rank among those of its length. slots (len, first rank, first window, items in each window,
+    offset) are in order; there is one row a pattern and length, however many items there are, and each rank finds its row by binary search."""
+    length, first, base, each, offset = slots.T
+    by_len = np.searchsorted(length, np.arange(length.max(initial=0) + 2))
+
+    @F.pandas_udf("window_id long, window_offset int")
+    def place(n: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        n, rank = n.to_numpy(), rank.to_numpy()
+        lo, hi = by_len[n], by_len[n + 1]
+        while (lo + 1 < hi).any():  # the last slot of the length that begins at the rank or before
+            mid = (lo + hi) // 2
+            below = first[mid] <= rank
+            lo, hi = np.where(below, mid, lo), np.where(below, hi, np.maximum(mid, lo + 1))
+        k = rank - first[lo]
+        return pd.DataFrame({"window_id": base[lo] + k // each[lo], "window_offset": (offset[lo] + k % each[lo] * n).astype("int32")})
+
+    return place
 
 
 def packed_documents(spark, sf_dir, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
