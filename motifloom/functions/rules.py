@@ -78,6 +78,28 @@ def parse(rule: str) -> list[Token]:
     return [t for m in _GRAMMAR.finditer(rule) for t in _MEANING[m.lastgroup](m[m.lastgroup])]
 
 
+def token_text(t: Token) -> str:
+    """The token as it is written in a rule."""
+    texts = {"class": f"[{t.value}]", "optional": f"({t.value})", "optional_class": f"([{t.value}])", "gap": "_", "fixed": f"x({t.least})", "range": f"x({t.least},{t.most})"}
+    return texts.get(t.kind, t.value)
+
+
+_PARSED = T.ArrayType(T.StructType([T.StructField(n, T.StringType() if n in ("kind", "value", "text") else T.IntegerType()) for n in (*Token._fields, "text")]))
+
+
+@F.pandas_udf(_PARSED)
+def parsed_rule(rule: pd.Series) -> pd.Series:
+    """The tokens of any rule text; null for a null or a wildcard without a number."""
+
+    def one(r):
+        try:
+            return None if r is None else [dict(t._asdict(), text=token_text(t)) for t in parse(r)]
+        except ValueError:
+            return None
+
+    return rule.map(one, na_action=None)
+
+
 def _one_of(name: str) -> str:
     return "[" + BY_NAME[name].residues + "]" if name in BY_NAME else r"[^\x00-\U0010ffff]"
 
@@ -208,6 +230,21 @@ def rule_costs(rule: Column) -> Column:
     )
 
 
+def rule_lengths(rule: Column) -> Column:
+    """Struct of the least and most characters that a word needs to match an engine-written rule."""
+
+    def span(t: Column, end: str) -> Column:
+        k, (low, high) = _is(t), _wild(t)
+        some = {"least": (1, low, 0, 1, 0), "most": (4, high, 1, 5, 2)}[end]
+        out = F.when(k["gap"], F.lit(some[0])).when(k["wild"], some[1])
+        for name, n in zip(("optional", "optional_gap", "optional_class"), some[2:]):
+            out = out.when(k[name], F.lit(n))
+        return out.otherwise(F.lit(1))
+
+    total = lambda end: F.aggregate(F.transform(rule_tokens(rule), lambda t: span(t, end)), F.lit(0), lambda a, x: a + x)
+    return F.struct(total("least").alias("least"), total("most").alias("most"))
+
+
 def rule_allowed(c: Column) -> Column:
     few = (c["max_wildcard"] <= MAX_WILDCARD) & (c["sum_wildcard"] <= MAX_WILDCARDS) & (c["tier3"] <= MAX_TIER3)
     return (c["literals"] >= MIN_LITERALS) & few & (c["complexity"] <= MAX_COMPLEXITY)

@@ -105,6 +105,11 @@ def until_target(cover: DataFrame, totals: DataFrame, group: str, target: float)
     return cover.join(totals, group).withColumn("_before", before).filter((F.col("_before") == 0) | (F.col("_before") / F.col("n") < target)).select(group, "place", "n_new")
 
 
+def covered_by(hits: DataFrame, chosen: DataFrame, group: str) -> DataFrame:
+    """(group, ord, place): every covered word under the first of the chosen rules (group, place) that matches it, from hits (group, place, ord)."""
+    return hits.join(chosen.select(group, "place"), [group, "place"]).groupBy(group, "ord").agg(F.min("place").alias("place"))
+
+
 def greedy_cover(hits: DataFrame, negs: DataFrame, totals: DataFrame, group: str, target: float, max_fpr: float) -> DataFrame:
     """(group, place, n_new): the rules that a walk in the order of place takes. It skips a rule that covers nothing new, or with which more than
     ``max_fpr`` of the group's ``pool`` of negatives would be matched by the rules taken, and ends at ``target`` of the group's ``n`` words.

@@ -14,7 +14,7 @@ from motifloom.operators import words as W
 from motifloom.operators.align import align_pairs, score_pairs
 from motifloom.operators.matching import greedy_matching
 from motifloom.operators.neighbor_rows import owned_neighbors
-from motifloom.operators.skew import lookup_join
+from motifloom.operators.skew import hot_keys, lookup_join
 from motifloom.session import cut, read
 
 QUERIES, SQL = {}, {}
@@ -192,21 +192,20 @@ def q_candidates_all(spark, d):
 # ---- alignments of the linked words (rows are checked in tests against one cell at a time) ------------------------------------------
 
 
-def _linked(spark, d):
+def linked_words(spark, d):
+    """(i, j, wi, wj), i < j: the linked words."""
     edges = cut(G.undirected(owned_neighbors(spark, d)).select("i", "j"))
-    w = words(spark, d)
-    one = lookup_join(edges, w.select(F.col("word_id").alias("i"), F.col("word").alias("wi")), "i")
-    return lookup_join(one, w.select(F.col("word_id").alias("j"), F.col("word").alias("wj")), "j")
+    return W.named_ends(edges, cut(words(spark, d)))
 
 
 @query()
 def q_align_rule(spark, d):
-    return align_pairs(_linked(spark, d), "wi", "wj").drop("wi", "wj").withColumn("score", F.round(F.col("score").cast("double"), 5))
+    return align_pairs(linked_words(spark, d), "wi", "wj").drop("wi", "wj").withColumn("score", F.round(F.col("score").cast("double"), 5))
 
 
 @query()
 def q_score_pairs(spark, d):
-    return score_pairs(_linked(spark, d), "wi", "wj").drop("wi", "wj").withColumn("score", F.round("score", 9))
+    return score_pairs(linked_words(spark, d), "wi", "wj").drop("wi", "wj").withColumn("score", F.round("score", 9))
 
 
 # ---- rules -----------------------------------------------------------------------------------------------------------------
@@ -240,10 +239,10 @@ def q_rule_costs(spark, d):
 @query(f"with {_RULES}, {_W} select rule_id, word_id from rx join w on regexp_full_match(word, regex)")
 def q_rule_match(spark, d):
     """Every rule of the pool against every word. The rules are a stated set that Spark sends to the tasks where it is small."""
-    return _pool_hits(spark, d)
+    return pool_hits(spark, d)
 
 
-def _pool_hits(spark, d):
+def pool_hits(spark, d):
     """(rule_id, word_id): the rule pool against all words, in tiles of rules and words."""
     rules = clean_rules(spark, d).select(F.lit("all").alias("grp"), F.col("rule_id").cast("long").alias("rid"), R.rule_regex(F.col("rule")).alias("regex"), F.lit(None).cast("string").alias("exact"))
     w = words(spark, d).select(F.lit("all").alias("grp"), F.col("word_id").cast("long").alias("ord"), "word")
@@ -254,16 +253,17 @@ def _pool_hits(spark, d):
 _HITS = f"{_RULES}, {_W}, {_P}, h as (select rule_id, word_id from rx join w on regexp_full_match(word, regex)), fh as (select frag_id, rule_id, word_id from h join p using (word_id))"
 
 
-def _frag_hits(spark, d):
+def frag_hits(spark, d):
     """(frag_id, rule_id, word_id): rules of the pool that match words of fragments."""
-    return lookup_join(pairs(spark, d).select("frag_id", "word_id"), _pool_hits(spark, d).groupBy("word_id").agg(F.collect_set("rule_id").alias("rs")), "word_id").select(
+    hot = hot_keys(read(spark, d, "word_frags"), "word_id")
+    return lookup_join(pairs(spark, d).select("frag_id", "word_id"), pool_hits(spark, d).groupBy("word_id").agg(F.collect_set("rule_id").alias("rs")), "word_id", hot=hot).select(
         "frag_id", F.explode("rs").alias("rule_id"), "word_id"
     )  # a word's set of rules is at most the pool
 
 
 @query(f"with {_HITS} select frag_id, rule_id, count(*) n_words from fh group by 1, 2")
 def q_pos_scan(spark, d):
-    return _frag_hits(spark, d).groupBy("frag_id", "rule_id").agg(F.count(F.lit(1)).alias("n_words"))
+    return frag_hits(spark, d).groupBy("frag_id", "rule_id").agg(F.count(F.lit(1)).alias("n_words"))
 
 
 _COST = """cost as (select rule_id, cast(sum(case when tok = '_' or tok like '(%' then 2.0 when tok like '[%' then 1.5
@@ -277,13 +277,18 @@ b as (select frag_id, place, n_new, n, coalesce(sum(n_new) over (partition by fr
 sel as (select frag_id, rule_id, n_new from b join rk using (frag_id, place) where before = 0 or before / n < 0.85)"""
 
 
-def _selected(spark, d):
-    """The pool's rules that a greedy walk takes in every fragment: (frag_id, rule_id, n_new), and the hits."""
-    found = cut(_frag_hits(spark, d))
+def ranked_pool(spark, d, found):
+    """The pool's rules in the order of the walk in every fragment: (frag_id, rule_id, place), and the hits (frag_id, place, ord)."""
     cost = clean_rules(spark, d).select("rule_id", R.rule_costs(F.col("rule"))["complexity"].alias("c"))
-    n = lookup_join(found.groupBy("frag_id", "rule_id").agg(F.count(F.lit(1)).alias("n_pos")), cost, "rule_id")
+    n = found.groupBy("frag_id", "rule_id").agg(F.count(F.lit(1)).alias("n_pos")).join(cost, "rule_id")
     placed = n.select("frag_id", "rule_id", F.struct((-F.col("n_pos")).alias("n"), "c", "rule_id").alias("place"))
-    hits = found.join(placed, ["frag_id", "rule_id"]).select("frag_id", "place", F.col("word_id").alias("ord"))
+    return placed, found.join(placed, ["frag_id", "rule_id"]).select("frag_id", "place", F.col("word_id").alias("ord"))
+
+
+def _selected(spark, d):
+    """The pool's rules that a greedy walk takes in every fragment: (frag_id, rule_id, n_new), and the hits."""
+    found = cut(frag_hits(spark, d))
+    _, hits = ranked_pool(spark, d, found)
     totals = pairs(spark, d).groupBy("frag_id").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("had"))
     chosen = V.until_target(V.first_cover(hits, "frag_id"), totals, "frag_id", 0.85)
     return chosen.select("frag_id", F.col("place.rule_id").alias("rule_id"), "n_new"), found, totals
@@ -334,29 +339,29 @@ neg as (select fr.frag_id, pre.word, pre.h, row_number() over (partition by fr.f
 @query(f"with {_NEG} select frag_id, count(*) n_negatives, count(distinct word) n_words, min(word) first_word, max(word) last_word from neg group by 1")
 def q_negative_pool(spark, d):
     """What every fragment's sample of K_NEG words of other fragments holds."""
-    return _negatives(spark, d).groupBy("frag_id").agg(
+    return negatives(spark, d).groupBy("frag_id").agg(
         F.count(F.lit(1)).alias("n_negatives"), F.countDistinct("word").alias("n_words"), F.min("word").alias("first_word"), F.max("word").alias("last_word")
     )
 
 
-def _negatives(spark, d, k: int = K_NEG):
-    """(frag_id, word): k rows of other fragments for each fragment, from one prefix of at most a few k rows."""
+def negatives(spark, d, k: int = K_NEG):
+    """(frag_id, at, word): k rows of other fragments for each fragment. Each fragment meets one row, the prefix of at most 3 k rows."""
     fw = cut(frag_words(spark, d))
     prefix = V.negative_prefix(fw, k)
     array = F.array_sort(F.collect_list(F.struct("at", "f", "word")))
     held = spark.createDataFrame([(i, f, w) for i, (f, w) in enumerate(prefix)], "at int, f string, word string").agg(array.alias("a")).withColumn("one", F.lit(1))
     frags = fw.select("frag_id").distinct().withColumn("one", F.lit(1))
     own = F.slice(F.filter("a", lambda x: x["f"] != F.col("frag_id")), 1, k)
-    return frags.join(F.broadcast(held), "one").select("frag_id", F.explode(own).alias("x")).select("frag_id", "x.word")
+    return frags.join(F.broadcast(held), "one").select("frag_id", F.explode(own).alias("x")).select("frag_id", "x.at", "x.word")
 
 
 @query(f"""with {_NEG}, {_RULES}, nh as (select neg.frag_id, count(distinct neg.h) filter (exists (select 1 from rx where regexp_full_match(neg.word, rx.regex))) hit, count(*) n from neg group by 1)
 select frag_id, n pool, hit, round(hit / n, 9) overall_fpr from nh""")
 def q_overall_fpr(spark, d):
     """Share of a fragment's negatives that any rule of the pool matches."""
-    neg = _negatives(spark, d)
+    neg = negatives(spark, d)
     w = words(spark, d)
-    hit = lookup_join(_pool_hits(spark, d).select("word_id").distinct(), w, "word_id").select("word").distinct()
+    hit = lookup_join(pool_hits(spark, d).select("word_id").distinct(), w, "word_id").select("word").distinct()
     marked = lookup_join(neg, hit.withColumn("m", F.lit(1)), "word", "left")
     out = marked.groupBy("frag_id").agg(F.count(F.lit(1)).alias("pool"), F.sum(F.coalesce("m", F.lit(0)).cast("long")).alias("hit"))
     return out.withColumn("overall_fpr", F.round(F.col("hit") / F.col("pool"), 9))

@@ -27,6 +27,13 @@ def frag_words(words: DataFrame, word_frags: DataFrame) -> DataFrame:
     return named.select("frag_id", order.alias("ord"), "word_id", "word")
 
 
+def named_ends(edges: DataFrame, words: DataFrame) -> DataFrame:
+    """edges (i, j) with the words of both ends, wi and wj, from words (word_id, word); edges is read more than once: cut it first."""
+    hot = {c: hot_keys(edges, c) for c in ("i", "j")}
+    one = lookup_join(edges, words.select(F.col("word_id").alias("i"), F.col("word").alias("wi")), "i", hot=hot["i"])
+    return lookup_join(one, words.select(F.col("word_id").alias("j"), F.col("word").alias("wj")), "j", hot=hot["j"])
+
+
 def clean_pair_scores(pair_scores: DataFrame) -> DataFrame:
     """(word, frag_id, score): the mean of the valid scores (in 0..1) of every pair as normalised; nulls, NaN and others are left out."""
     rows = pair_scores.select(normal_word().alias("word"), normal_frag().alias("frag_id"), "score").dropna()
@@ -56,6 +63,11 @@ def dense_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_at", "_start")
 
 
+def number_batches(pairs: DataFrame, batch_size: int) -> DataFrame:
+    """(i, j, batch_id): pairs in the order of i and j, batch_size of them a batch, numbered from 0."""
+    return dense_number(pairs.select("i", "j"), [F.col("i"), F.col("j")], "_n").select("i", "j", F.floor(F.col("_n") / batch_size).cast("long").alias("batch_id"))
+
+
 def running_start(df: DataFrame, key: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
     """df with the sum of ``value`` over all smaller whole-number keys (keys are unique), in two levels: inside buckets of
     ``width`` keys, and over one row a bucket."""

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from motifloom.operators.queries_core import frag_words, words
+from motifloom.operators.queries_core import _COVER, _selected, frag_words, words
 from motifloom.operators.words import with_word_ids
 from motifloom.plans.mine import fragment_edges, mine_rules, run_totals
 from motifloom.plans.neighbours import build_graph
@@ -53,5 +53,23 @@ def q_build_graph_all(spark, d):
     return build_graph(words(spark, d), max_posting=None).neighbors.withColumn("score", F.round(F.col("score").cast("double"), 4))
 
 
-QUERIES = {f.__name__: f for f in (q_fragment_edges, q_mine_part_words, q_mine_rules, q_covered_words, q_mine_summary, q_run_totals, q_build_graph, q_build_graph_all)}
-SQL: dict[str, str] = {}
+def q_pool_totals(spark, d):
+    """Run totals over all fragments of the rule pool's cover, with an exact rule for every word that it leaves out."""
+    chosen, found, totals = _selected(spark, d)
+    taken = cut(found.join(chosen, ["frag_id", "rule_id"], "left_semi"))
+    several = found.groupBy("frag_id", "rule_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    per = lambda df, name: df.groupBy("frag_id").agg(F.countDistinct("word_id").alias(name))
+    n_rules = chosen.groupBy("frag_id").agg(F.count(F.lit(1)).alias("r"))
+    every = totals.join(n_rules, "frag_id", "left").join(per(taken, "covered"), "frag_id", "left").join(per(taken.join(several, ["frag_id", "rule_id"], "left_semi"), "gen"), "frag_id", "left")
+    some = lambda c: F.coalesce(c, F.lit(0))
+    summary = every.select(F.col("n").alias("total_words"), (some("r") + F.col("n") - some("covered")).alias("n_rules"), F.lit(1.0).alias("coverage"), (some("gen") / F.col("n")).alias("gen_coverage"))
+    return run_totals(summary).withColumns({c: F.round(c, 9) for c in ("coverage", "gen_coverage")})
+
+
+QUERIES = {f.__name__: f for f in (q_fragment_edges, q_mine_part_words, q_mine_rules, q_covered_words, q_mine_summary, q_run_totals, q_pool_totals, q_build_graph, q_build_graph_all)}
+SQL = {
+    "q_pool_totals": f"""with {_COVER}, t as (select distinct frag_id, rule_id, word_id, n_pos from sel join fh using (frag_id, rule_id) join n using (frag_id, rule_id)),
+c as (select frag_id, count(distinct word_id) covered, count(distinct case when n_pos > 1 then word_id end) gen from t group by 1), r as (select frag_id, count(*) r from sel group by 1),
+s as (select tot.n, coalesce(r, 0) + tot.n - coalesce(covered, 0) n_rules, coalesce(gen, 0) gen from tot left join r using (frag_id) left join c using (frag_id))
+select count(*) n_fragments, cast(sum(n) as bigint) n_words, cast(sum(n_rules) as bigint) n_rules, 1.0::double coverage, round(sum(gen) / sum(n), 9) gen_coverage from s"""
+}

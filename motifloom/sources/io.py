@@ -8,7 +8,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifloom.operators.words import with_word_ids
+from motifloom.plans.mine import Mined
 from motifloom.plans.neighbours import Graph
+from motifloom.session import cut
 
 WRAPPERS = ("frag2words", "frag_to_words", "fragment_to_words")
 
@@ -66,12 +69,40 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(*[spark.read.parquet(f"{path}/{x}") for x in ("edges", "rules", "neighbors", "degrees")], spark.read.json(f"{path}/summary"))
 
 
-def edges_left(pairs: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (batch_id, ...) of the batches that ``done`` (batch_id) doesn't have yet; used to go on after a broken run."""
-    return pairs.join(done.select("batch_id").distinct(), "batch_id", "left_anti")
+def write_word_index(fw: DataFrame, path: str) -> None:
+    """The word index of frag_words(frag_id, ord, word): ``words`` (word_id, word) and ``word_frags`` (word_id, frag_id, pos), sorted by fragment, below ``path``.
 
+    Both directions of the index are the long table: a word's fragments are its rows, a fragment's words its rows in the order of pos."""
+    named = cut(with_word_ids(fw))
+    named.select("word_id", "word").distinct().write.mode("overwrite").parquet(f"{path}/words")
+    long = named.select("word_id", "frag_id", F.col("ord").alias("pos"))
+    long.repartitionByRange("frag_id", "pos").sortWithinPartitions("frag_id", "pos").write.mode("overwrite").parquet(f"{path}/word_frags")
 
-def write_results(rules: DataFrame, summary: DataFrame, path: str) -> None:
-    """Rules as Parquet by fragment, the fragments' summaries as JSON lines with full characters."""
-    rules.repartitionByRange("frag_id").sortWithinPartitions("frag_id", F.desc("covered_count"), "rule").write.mode("overwrite").parquet(f"{path}/rules")
-    summary.write.mode("overwrite").json(f"{path}/summary")
+
+def read_word_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """words (word_id, word) and word_frags (word_id, frag_id, pos) of ``write_word_index``."""
+    return spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/word_frags")
+
+
+def write_results(mined: Mined, path: str, objects: bool = False) -> None:
+    """Rules and the words that each covers as Parquet by fragment, the fragments' summaries as JSON lines with full characters, below ``path``.
+
+    objects: also one JSON object a fragment, with its rules and their words inside, to ``path``/fragments. Such a row holds a whole fragment, so
+    it is for fragments of moderate size; the tables hold fragments of any size."""
+    order = [F.desc("covered_count"), "rule"]
+    mined.rules.repartitionByRange("frag_id", "rid").sortWithinPartitions("frag_id", *order).write.mode("overwrite").parquet(f"{path}/rules")
+    mined.covered.repartitionByRange("frag_id", "rid").sortWithinPartitions("frag_id", "rid", "ord").write.mode("overwrite").parquet(f"{path}/covered")
+    mined.summary.write.mode("overwrite").json(f"{path}/summary")
+    if objects:
+        fragment_objects(mined).write.mode("overwrite").json(f"{path}/fragments")
+
+
+def fragment_objects(mined: Mined) -> DataFrame:
+    """One row a fragment: frag_id, total_words, rules (pattern, covered_words, covered_count, average_score, false_positive_rate; most words first),
+    coverage, gen_coverage, overall_fpr."""
+    words = mined.covered.groupBy("frag_id", "rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word"))), lambda x: x["word"]).alias("covered_words"))
+    rule = F.struct(
+        (-F.col("covered_count")).alias("_by"), F.col("rule").alias("pattern"), "covered_words", "covered_count", "average_score", F.coalesce("rule_fpr", F.lit(0.0)).alias("false_positive_rate")
+    )
+    rules = mined.rules.join(words, ["frag_id", "rid"]).groupBy("frag_id").agg(F.transform(F.array_sort(F.collect_list(rule)), lambda x: x.dropFields("_by")).alias("rules"))
+    return mined.summary.join(rules, "frag_id").select("frag_id", "total_words", "rules", "coverage", "gen_coverage", "overall_fpr")

@@ -5,28 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.functions.rules import rule_matches, rule_regex
+from motifloom.functions.rules import rule_lengths, rule_matches, rule_regex
 from motifloom.operators.skew import normal_word
 
-MAX_RULES = 100_000
-
 
 def match_stream(words: DataFrame, rules: DataFrame) -> DataFrame:
-    """A stream (word_id, word, added_at, ...) with the rules that match each word, as an array of rule_id.
+    """A stream (word_id, word, added_at, ...) with rule_id, one row for each rule that matches the word, or one with null if none does.
 
-    ``rules`` (rule_id, rule) is static; its compiled list goes to the tasks, so it must have at most ``MAX_RULES`` rows.
-    Null words match nothing and come out with an empty array.
+    A stream-static join: ``rules`` (rule_id, rule) stands once for every length of a word that it can match, and a word is tried against the
+    rules of its length only, so the set of rules may have any size. Null words match nothing; null rules are left out.
     """
-    kept = rules.select("rule_id", rule_regex(F.col("rule")).alias("regex")).dropna().limit(MAX_RULES + 1).collect()
-    if len(kept) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: match in batches with operators.cover.rule_hits")
-    word = normal_word()
-    table = F.array(*[F.struct(F.lit(r["rule_id"]).alias("id"), F.lit(r["regex"]).alias("re")) for r in kept]) if kept else F.array().cast("array<struct<id:int,re:string>>")
-    found = F.filter(table, lambda r: rule_matches(F.coalesce(word, F.lit("\n")), r["re"]))
-    return words.withColumn("rule_ids", F.transform(found, lambda r: r["id"]))
+    length = rule_lengths(F.col("rule"))
+    known = rules.select("rule_id", rule_regex(F.col("rule")).alias("_regex"), F.explode(F.sequence(length["least"], length["most"])).alias("_length")).dropna()
+    tried = words.withColumn("_word", normal_word()).withColumn("_length", F.length("_word"))
+    fits = (tried["_length"] == known["_length"]) & rule_matches(F.col("_word"), F.col("_regex"))
+    return tried.join(known, fits, "left").select(*[tried[c] for c in words.columns], "rule_id")
 
 
 def match_counts(words: DataFrame, rules: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
     """(window, rule_id, n_words): matches by event-time window; words later than ``late`` behind the newest are dropped by the watermark."""
-    hits = match_stream(words.withWatermark("added_at", late), rules)
-    return hits.select("added_at", F.explode("rule_ids").alias("rule_id")).groupBy(F.window("added_at", window), "rule_id").agg(F.count(F.lit(1)).alias("n_words"))
+    hits = match_stream(words.withWatermark("added_at", late), rules).filter(F.col("rule_id").isNotNull())
+    return hits.groupBy(F.window("added_at", window), "rule_id").agg(F.count(F.lit(1)).alias("n_words"))

@@ -303,6 +303,56 @@ def test_graph(spark, tmp_path):
     assert empty.neighbors.collect() == [] and empty.summary.first().num_verified_edges == 0
 
 
+def test_graph_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    from motifloom.plans import neighbours
+
+    ws = [w for w in _family(40, 7) if w.replace("_", "")]
+    df = spark.createDataFrame(list(enumerate(ws)), "word_id int, word string").cache()
+    want = {tuple(r) for r in build_graph(df).edges.collect()}
+    pairs, path, done = anchors.candidate_pairs(df), str(tmp_path / "b"), []
+    score = neighbours.scored_edges
+
+    def breaks(p, *more):
+        if len(done) == 2:
+            raise RuntimeError("lost")
+        done.append(p.count())
+        return score(p, *more)
+
+    monkeypatch.setattr(neighbours, "scored_edges", breaks)
+    with pytest.raises(RuntimeError):
+        neighbours.edges_in_batches(pairs, df, path, batch_size=10, per_job=1)
+    monkeypatch.setattr(neighbours, "scored_edges", lambda p, *more: (done.append(p.count()), score(p, *more))[1])
+    again, edges = neighbours.edges_in_batches(pairs, df, path, batch_size=10, per_job=1)
+    assert {tuple(r) for r in edges.collect()} == want and sum(done) == again.count() and set(done[:-1]) == {10}
+    empty = build_graph(df.limit(0), batches=str(tmp_path / "e"), num_fragments=0).summary.first()
+    assert empty.num_candidate_pairs == 0 == empty.num_verified_edges and empty.runtime_seconds > 0
+
+
+def test_results_and_command_line(spark, tmp_path, capsys):
+    from motifloom.cli import main
+
+    lists = {"frag_1": _family(25, 3), "frag_2": _family(20, 4) + ["ACDEFG"]}
+    (tmp_path / "in.json").write_text("\n".join(json.dumps({"frag_id": f, "words": ws}) for f, ws in lists.items()))
+    main(["mine", "--input", str(tmp_path / "in.json"), "--format", "json", "--output", str(tmp_path / "m"), "--objects"])
+    objects = {r.frag_id: r for r in spark.read.json(str(tmp_path / "m" / "fragments")).collect()}
+    for f, ws in lists.items():
+        assert objects[f].total_words == len(ws) and sorted(w for r in objects[f].rules for w in r.covered_words) == sorted(ws)
+        assert all(r.covered_count == len(r.covered_words) for r in objects[f].rules)
+    assert spark.read.parquet(str(tmp_path / "m" / "covered")).count() == sum(map(len, lists.values()))
+    main(["graph", "--input", str(tmp_path / "in.json"), "--format", "json", "--output", str(tmp_path / "g"), "--batch-size", "50"])
+    words, pairs = io.read_word_index(spark, str(tmp_path / "g" / "index"))
+    named = pairs.join(words, "word_id").orderBy("pos").collect()
+    assert {f: [r.word for r in named if r.frag_id == f] for f in lists} == lists
+    order = list(dict.fromkeys(w for f in sorted(lists) for w in lists[f]))
+    assert [r.word for r in words.orderBy("word_id").collect()] == order
+    summary = io.read_graph(spark, str(tmp_path / "g")).summary.first()
+    assert summary.num_fragments == 2 and summary.num_unique_words == len(order) and summary.num_candidate_pairs > 30
+    capsys.readouterr()
+    main(["inspect", "--graph", str(tmp_path / "g"), "--word", lists["frag_1"][0], "--fragment", "frag_1"])
+    out = capsys.readouterr().out
+    assert "coverage_bound" in out and "neighbour" in out
+
+
 def test_all_neighbours_count(spark, tmp_path):
     from motifloom.operators.queries_core import QUERIES
 
@@ -364,7 +414,7 @@ def test_streaming(spark, tmp_path):
     q = match_stream(stream, rules).writeStream.format("memory").queryName("matched").option("checkpointLocation", str(tmp_path / "c1")).start()
     q.processAllAvailable()
     q.stop()
-    assert {r.word_id: r.rule_ids for r in spark.table("matched").collect()} == {1: [1], 2: [2], 3: []}
+    assert {(r.word_id, r.rule_id) for r in spark.table("matched").collect()} == {(1, 1), (2, 2), (3, None)}
     q = match_counts(stream, rules).writeStream.outputMode("complete").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "c2")).start()
     q.processAllAvailable()
     q.stop()
