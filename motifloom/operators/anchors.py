@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.operators.skew import in_block_pairs, lookup_join, once_in_blocks
@@ -27,40 +29,40 @@ SLIDING = {"exact": [("exact3:", 3, 0, 0), ("exact4:", 4, 0, 0), ("exact5:", 5,
 ENDS = (3, 4, 5, 6)
 
 
-def _sliding(words: DataFrame, specs: list[tuple[str, int, int, int]]) -> DataFrame:
+def _sliding(words: DataFrame, specs: list[tuple[str, int, int, int]], more: tuple[str, ...]) -> DataFrame:
     """One row a place: places are exploded rather than transformed in arrays, which keeps the substrings in generated code."""
     spec = F.array(*[F.struct(F.lit(t).alias("label"), F.lit(a).alias("a"), F.lit(g).alias("g"), F.lit(b).alias("b")) for t, a, g, b in specs])
-    by = words.select("word_id", bare(F.col("word")).alias("aa"), F.explode(spec).alias("s"))
+    by = words.select("word_id", *more, bare(F.col("word")).alias("aa"), F.explode(spec).alias("s"))
     width = F.col("s.a") + F.col("s.g") + F.col("s.b")
     by = by.filter(F.length("aa") >= width).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("aa") - width + 1)))
     left = F.substring("aa", F.col("i"), F.col("s.a"))
     right = F.concat(F.lit("***"), F.substring("aa", F.col("i") + F.col("s.a") + F.col("s.g"), F.col("s.b")))
-    return by.select("word_id", F.concat("s.label", left, F.when(F.col("s.b") > 0, right).otherwise("")).alias("anchor"))
+    return by.select("word_id", *more, F.concat("s.label", left, F.when(F.col("s.b") > 0, right).otherwise("")).alias("anchor"))
 
 
-def _ends(words: DataFrame) -> DataFrame:
+def _ends(words: DataFrame, more: tuple[str, ...]) -> DataFrame:
     aa = bare(F.col("word"))
     both = lambda k: (F.concat(F.lit(f"prefix{k}:"), F.left(aa, F.lit(k))), F.concat(F.lit(f"suffix{k}:"), F.right(aa, F.lit(k))))
     every = F.array(*[F.when(F.length(aa) >= k, c) for k in ENDS for c in both(k)])
-    return words.select("word_id", F.explode(every).alias("anchor")).filter(F.col("anchor").isNotNull())
+    return words.select("word_id", *more, F.explode(every).alias("anchor")).filter(F.col("anchor").isNotNull())
 
 
-def _gaps(words: DataFrame) -> DataFrame:
-    parts = words.filter(F.col("word").contains("_")).select("word_id", F.split("word", "_").alias("p"))
+def _gaps(words: DataFrame, more: tuple[str, ...]) -> DataFrame:
+    parts = words.filter(F.col("word").contains("_")).select("word_id", *more, F.split("word", "_").alias("p"))
     at = parts.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("p") - 2)))
     left, right = F.get("p", F.col("i")), F.get("p", F.col("i") + 1)
-    return at.filter((left != "") & (right != "")).select("word_id", F.concat(F.lit("gap:"), left, F.lit("***"), right).alias("anchor"))
+    return at.filter((left != "") & (right != "")).select("word_id", *more, F.concat(F.lit("gap:"), left, F.lit("***"), right).alias("anchor"))
 
 
 KINDS = ("exact", "prefix_suffix", "spaced", "gap")
 
 
-def anchors(words: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """(word_id, anchor) with one row for every occurrence, so repeated anchors of a word stay repeated. Null words have none."""
-    known = spread(words.filter(F.col("word").isNotNull()).select("word_id", "word"))  # a word makes about a hundred anchors
+def anchors(words: DataFrame, kinds: tuple[str, ...] = KINDS, more: tuple[str, ...] = ()) -> DataFrame:
+    """(word_id, anchor) with one row for every occurrence, so repeated anchors of a word stay repeated; ``more`` names columns of words to keep. Null words have none."""
+    known = spread(words.filter(F.col("word").isNotNull()).select("word_id", "word", *more))  # a word makes about a hundred anchors
     sliding = [s for k in kinds for s in SLIDING.get(k, ())]
-    parts = [_sliding(known, sliding)] if sliding else []
-    parts += [make(known) for k, make in (("prefix_suffix", _ends), ("gap", _gaps)) if k in kinds]
+    parts = [_sliding(known, sliding, more)] if sliding else []
+    parts += [make(known, more) for k, make in (("prefix_suffix", _ends), ("gap", _gaps)) if k in kinds]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -80,18 +82,114 @@ def stop_anchors(words: DataFrame, max_posting: int = MAX_POSTING) -> DataFrame:
     return postings(words).filter(F.col("n_rows") > max_posting).select("anchor", "n_rows")
 
 
+PAIRS_AT_ONCE = 1 << 21
+
+
+def _list_pairs(lists: np.ndarray, word: np.ndarray, weight: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """(i, j, tenths) of the rows of some whole posting lists, which stand one after another and begin at ``lists``; each pair once."""
+    size = np.diff(np.append(lists, len(word)))
+    ids, code = np.unique(word, return_inverse=True)
+    parts = []
+    for n in np.unique(size):
+        x, y = np.triu_indices(n, 1)
+        at = lists[size == n][:, None]
+        x, y = (at + x).ravel(), (at + y).ravel()
+        short, long = np.minimum(length[x], length[y]), np.maximum(length[x], length[y])
+        ok = (code[x] != code[y]) & (short >= MIN_LENGTH) & (long <= MAX_RATIO * short)
+        x, y = x[ok], y[ok]
+        parts.append((np.minimum(code[x], code[y]) * len(ids) + np.maximum(code[x], code[y]), weight[x]))
+    key, tenths = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    pair, at = np.unique(key, return_inverse=True)
+    total = np.bincount(at, tenths, minlength=len(pair)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ids[pair // max(1, len(ids))]), pa.array(ids[pair % max(1, len(ids))]), pa.array(total)], names=["i", "j", "tenths"])
+
+
+def _capped_pairs(cap: int):
+    """Pairs of the posting lists of at most ``cap`` rows, from rows (h, g, word_id, w, len) sorted by anchor (h, g); of a longer list a task holds one batch's part."""
+
+    def run(batches):
+        held: list[tuple] = []
+        pairs = 0
+        tail = None  # the rows of the last list, which may go on in the next batch
+        over = None  # the anchor of a list that is too long, whose further rows are passed over
+
+        def lists(cols, last):
+            nonlocal pairs, tail, over
+            h, g = cols[0], cols[1]
+            if over is not None:
+                n = int(((h != over[0]) | (g != over[1])).argmax()) if ((h != over[0]) | (g != over[1])).any() else len(h)
+                cols = tuple(c[n:] for c in cols)
+                h, g = cols[0], cols[1]
+            if not len(h):
+                return
+            over = None
+            begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+            upto = len(h) if last else begin[-1]
+            size = np.diff(np.append(begin, len(h)))
+            if not last:
+                if size[-1] > cap:
+                    over, tail = (h[-1], g[-1]), None
+                else:
+                    tail = tuple(c[upto:] for c in cols)
+                begin, size = begin[:-1], size[:-1]
+            good = (size > 1) & (size <= cap)
+            rows = np.repeat(good, size)
+            if rows.any():
+                first = np.cumsum(size[good]) - size[good]
+                held.append((first, *(c[:upto][rows] for c in cols[2:])))
+                pairs += int((size[good] * (size[good] - 1)).sum()) // 2
+
+        def flush():
+            nonlocal held, pairs
+            shift = np.cumsum([0, *[len(h[1]) for h in held]])
+            out = _list_pairs(np.concatenate([h[0] + s for h, s in zip(held, shift)]), *(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)))
+            held, pairs = [], 0
+            return out
+
+        for batch in batches:
+            cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            if tail is not None:
+                cols, tail = tuple(np.concatenate(x) for x in zip(tail, cols)), None
+            lists(cols, False)
+            if pairs > PAIRS_AT_ONCE:
+                yield flush()
+        if tail is not None:
+            lists(tail, True)
+        if held:
+            yield flush()
+
+    return run
+
+
 def candidate_pairs(words: DataFrame, max_posting: int | None = MAX_POSTING, min_tenths: int = MIN_SCORE, split: int = SPLIT) -> DataFrame:
     """(i, j, tenths), i < j: pairs of words that share anchors, with the sum of the anchors' weights in tenths.
 
-    Anchors with more than ``max_posting`` rows are stop anchors by the operator's definition; None takes all of them, and those
-    with more than ``split`` words are cut into blocks: a pair of blocks is a join key of its own, so no task gets a whole hot anchor, and the
-    weights are summed after the join. Pairs need ``min_tenths``, ``MIN_LENGTH`` residues in both words and lengths that differ by a factor of
-    ``MAX_RATIO`` at most. Anchors are counted before the self-join.
+    Pairs need ``min_tenths``, ``MIN_LENGTH`` residues in both words and lengths that differ by a factor of ``MAX_RATIO`` at most.
+
+    Anchors with more than ``max_posting`` rows are stop anchors by the operator's definition. So posting lists are short: the anchors are shuffled
+    once, by a 128-bit hash, and a task makes the pairs of its lists and sums their weights before the pairs are shuffled. Of a hot anchor
+    every partition sends ``max_posting`` + 1 rows at most (WindowGroupLimit), which is enough to see that it is one.
+
+    ``max_posting`` None takes all anchors, see ``all_candidate_pairs``.
     """
+    if max_posting is None:
+        return all_candidate_pairs(words, min_tenths, split)
+    kind = words.schema["word_id"].dataType.simpleString()
+    sized = words.select("word_id", "word", F.length(bare(F.col("word"))).alias("len"))
+    rows = anchors(sized, more=("len",))
+    hashed = rows.select(F.xxhash64("anchor").alias("h"), F.xxhash64(F.lit(1), "anchor").alias("g"), "word_id", anchor_weight(F.col("anchor")).alias("w"), "len")
+    one = Window.partitionBy("h", "g").orderBy("word_id")
+    kept = hashed.withColumn("_r", F.row_number().over(one)).filter(F.col("_r") <= max_posting + 1).drop("_r")
+    found = kept.mapInArrow(_capped_pairs(max_posting), f"i {kind}, j {kind}, tenths bigint")
+    return found.groupBy("i", "j").agg(F.sum("tenths").alias("tenths")).filter(F.col("tenths") >= min_tenths)
+
+
+def all_candidate_pairs(words: DataFrame, min_tenths: int = MIN_SCORE, split: int = SPLIT) -> DataFrame:
+    """``candidate_pairs`` of all anchors. Those with more than ``split`` words are cut into blocks: a pair of blocks is a join key of its own, so
+    no task gets a whole hot anchor, and the weights are summed after the join. Anchors are counted before the self-join."""
     by = cut(anchors(words).groupBy("anchor", "word_id").agg(F.count(F.lit(1)).alias("m")))
-    size = by.groupBy("anchor").agg(F.sum("m").alias("rows"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    size = size.filter(F.col("rows") <= max_posting) if max_posting is not None else size
-    kept = lookup_join(by, size.select("anchor", "n"), "anchor")
+    size = by.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = lookup_join(by, size, "anchor")
     long_enough = words.select("word_id", F.length(bare(F.col("word"))).alias("len")).filter(F.col("len") >= MIN_LENGTH)
     kept = kept.join(long_enough, "word_id").withColumns({"w": anchor_weight(F.col("anchor")), "h": F.xxhash64("anchor")})
     keys = ["h", "anchor", "_p", "_q"]

@@ -101,7 +101,8 @@ def test_candidates_equal_brute_force(spark):
     lists = defaultdict(list)
     for r in anchors.anchors(df).collect():
         lists[r.anchor].append(r.word_id)
-    for cap in (12, None):
+    for cap, batch in ((12, 10_000), (12, 7), (3, 5), (None, 10_000)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))  # lists that go over several batches
         score = defaultdict(int)
         for key, ids in lists.items():
             if cap is None or len(ids) <= cap:
@@ -111,6 +112,7 @@ def test_candidates_equal_brute_force(spark):
         size = [len(w.replace("_", "")) for w in ws]
         want = {(a, b, s) for (a, b), s in score.items() if s >= 10 and min(size[a], size[b]) >= 3 and max(size[a], size[b]) <= 5 * min(size[a], size[b])}
         assert {tuple(r) for r in anchors.candidate_pairs(df, cap).collect()} == want and want
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_candidates_of_hot_anchors(spark, tmp_path):
