@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions.alphabet import edge_type_name
-from motifloom.operators.skew import lookup_join
+from motifloom.operators.skew import hot_keys, lookup_join
 from motifloom.operators.words import dense_number, running_start
+from motifloom.session import cut
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -69,14 +70,17 @@ def inspect_words(neighbors: DataFrame, words: DataFrame, rules: DataFrame, top:
     rows = neighbors.filter(F.col("word_id").isNotNull() & (F.col("rank") <= top)).groupBy("word_id", "rank", "edge_pos").agg(
         F.max("neighbor_id").alias("neighbor_id"), F.max(score).alias("score"), F.max("rule_id").alias("rule_id"), F.max("edge_type").alias("edge_type")
     )
-    named = lookup_join(rows, words.select(F.col("word_id").alias("neighbor_id"), F.col("word").alias("neighbour")), "neighbor_id", "left")
-    ruled = lookup_join(named, rules, "rule_id", "left")
+    rows = cut(rows)
+    hot = {c: hot_keys(rows, c) for c in ("neighbor_id", "rule_id")}
+    named = lookup_join(rows, words.select(F.col("word_id").alias("neighbor_id"), F.col("word").alias("neighbour")), "neighbor_id", "left", hot=hot["neighbor_id"])
+    ruled = lookup_join(named, rules, "rule_id", "left", hot=hot["rule_id"])
     return ruled.select("word_id", "rank", "neighbor_id", "neighbour", F.col("score").cast("double").alias("score"), "rule", edge_type_name(F.col("edge_type")).alias("edge_type_name"))
 
 
-def inspect_fragments(pairs: DataFrame, degree: DataFrame) -> DataFrame:
-    """(frag_id, num_words, num_linked, num_edges, coverage_bound) of every fragment; edges count its words' neighbours in ``degree``."""
-    rows = lookup_join(pairs.select("frag_id", "word_id"), degree.select("word_id", "degree"), "word_id", "left")
+def inspect_fragments(pairs: DataFrame, degree: DataFrame, hot: list | None = None) -> DataFrame:
+    """(frag_id, num_words, num_linked, num_edges, coverage_bound) of every fragment; edges count its words' neighbours in ``degree``. hot: the word_ids of
+    very many fragments, if the caller has counted them."""
+    rows = lookup_join(pairs.select("frag_id", "word_id"), degree.select("word_id", "degree"), "word_id", "left", hot=hot)
     rows = rows.withColumn("degree", F.coalesce("degree", F.lit(0)))
     out = rows.groupBy("frag_id").agg(
         F.count(F.lit(1)).alias("num_words"), F.sum((F.col("degree") > 0).cast("long")).alias("num_linked"), F.sum("degree").alias("num_edges")

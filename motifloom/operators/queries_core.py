@@ -447,14 +447,14 @@ def q_inspect_word(spark, d):
 count(*) filter (degree > 0) / count(*) coverage_bound from p left join dg using (word_id) group by 1""")
 def q_inspect_fragment(spark, d):
     """Fragments over the table of q_topk: num_edges counts K_TOP neighbours of a word at most."""
-    return G.inspect_fragments(pairs(spark, d), _degrees(spark, d))
+    return G.inspect_fragments(pairs(spark, d), _degrees(spark, d), hot_keys(read(spark, d, "word_frags"), "word_id"))
 
 
 @query(f"""with {_DEG_ALL}, {_P} select frag_id, count(*) num_words, cast(count(*) filter (degree > 0) as bigint) num_linked, cast(coalesce(sum(degree), 0) as bigint) num_edges,
 count(*) filter (degree > 0) / count(*) coverage_bound from p left join dg using (word_id) group by 1""")
 def q_inspect_fragment_all(spark, d):
     """Fragments with all neighbours of their words."""
-    return G.inspect_fragments(pairs(spark, d), _all_degrees(spark, d))
+    return G.inspect_fragments(pairs(spark, d), _all_degrees(spark, d), hot_keys(read(spark, d, "word_frags"), "word_id"))
 
 
 @query(f"with {_E}, {_P} select x.frag_id, count(*) n_induced from e join p x on x.word_id = e.i join p y on y.word_id = e.j and y.frag_id = x.frag_id group by 1")

@@ -72,6 +72,17 @@ def once_in_blocks(x: str, y: str) -> Column:
     return (F.col("_p") == F.col("_q")) | (F.col(x) != F.col(y))
 
 
+def fair_share(n_rows: int, partitions: int) -> int:
+    """A quarter of the rows that each of the partitions would have."""
+    return max(1, -(-n_rows // (4 * partitions)))
+
+
+def heavy_salts(rows: DataFrame, key: list[str], rows_per_salt: int) -> DataFrame:
+    """(key, _salts) of the keys with more than ``rows_per_salt`` rows: one salt for each so many rows begun."""
+    heavy = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_salt)
+    return heavy.select(*key, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts"))
+
+
 def salted_key_stats(df: DataFrame, key: list[str], partner: str, pos: str, rows_per_salt: int | None = None) -> DataFrame:
     """Rows, distinct partners, first and last pos of every key, in two stages.
 
@@ -87,10 +98,8 @@ def salted_key_stats(df: DataFrame, key: list[str], partner: str, pos: str, rows
     spark = df.sparkSession
     rows = df.select(*key, F.col(partner).alias("_partner"), F.col(pos).alias("_pos")).dropna(subset=key)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if rows_per_salt is None:
-        rows_per_salt = max(1, -(-df.count() // (4 * partitions)))
-    heavy = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_salt)
-    heavy = heavy.select(*key, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts"))
+    rows_per_salt = fair_share(df.count(), partitions) if rows_per_salt is None else rows_per_salt
+    heavy = heavy_salts(rows, key, rows_per_salt)
     salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(F.lit("salt"), "_partner"), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
     salted = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt).repartition(partitions, *key, "_salt")
     by_partner = salted.groupBy(*key, "_salt", "_partner").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))

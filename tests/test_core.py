@@ -12,7 +12,7 @@ from motifloom.functions import rules as R
 from motifloom.operators import align, anchors, graph
 from motifloom.operators.cover import negative_prefix, rule_hits
 from motifloom.operators.matching import greedy_matching
-from motifloom.operators.skew import dominant_keys, frag_word_key_stats, hot_keys, lookup_join, salted_key_stats
+from motifloom.operators.skew import dominant_keys, fair_share, frag_word_key_stats, heavy_salts, hot_keys, lookup_join, salted_key_stats
 from motifloom.operators.words import clean_words, dense_number, frag_words, running_start
 from motifloom.plans.mine import fragment_edges, mine_rules, run_totals
 from motifloom.plans.neighbours import build_graph
@@ -46,6 +46,13 @@ def test_salted_stats_equal_brute_force(spark):
     assert salted_key_stats(df.limit(0), ["key"], "partner", "pos").collect() == []
 
 
+def test_every_heavy_key_gets_salts(spark):
+    rows = [("hot", k) for k in range(1200)] + [(f"warm{k % 3}", k) for k in range(900)] + [(f"k{k}", k) for k in range(900)]
+    df = spark.createDataFrame(rows, "key string, partner int")
+    salts = {r.key: r._salts for r in heavy_salts(df, ["key"], fair_share(df.count(), 4)).collect()}
+    assert salts == {"hot": 7, "warm0": 2, "warm1": 2, "warm2": 2}
+
+
 def test_dominant_keys(spark):
     rows = [(1, " Frag_A", 0), (1, "frag_a", 5), (2, "FRAG_A ", 1), (None, "frag_b", 2), (3, None, 3)] + [(k, f"f{k}", 0) for k in range(10, 105)]
     df = spark.createDataFrame(rows, "word_id int, frag_id string, pos int")
