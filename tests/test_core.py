@@ -14,7 +14,7 @@ from motifloom.operators.cover import negative_prefix, rule_hits
 from motifloom.operators.matching import greedy_matching
 from motifloom.operators.skew import dominant_keys, fair_share, frag_word_key_stats, heavy_salts, hot_keys, lookup_join, salted_key_stats
 from motifloom.operators.words import clean_words, dense_number, frag_words, running_start
-from motifloom.plans.mine import fragment_edges, mine_rules, run_totals
+from motifloom.plans.mine import fragment_edges, fragment_tiles, mine_rules, run_totals
 from motifloom.plans.neighbours import build_graph
 from motifloom.sources import io
 from motifloom.streaming.rules import match_counts, match_stream
@@ -200,6 +200,15 @@ def test_fragment_edges_lose_none(spark):
         assert got == want and len(want) > 40
 
 
+def test_a_hot_fragment_has_tiles_of_the_usual_size(spark):
+    ws = ["".join(random.choice("ACDEFGHIKL") for _ in range(8)) for _ in range(4000)]
+    df = spark.createDataFrame([("hot" if k % 3 == 0 else f"f{k % 40}", k, k, w) for k, w in enumerate(ws)], "frag_id string, ord long, word_id long, word string")
+    tiles = fragment_tiles(df, 50).groupBy("frag_id", "i", "j").count().collect()
+    size = sorted(r["count"] for r in tiles)
+    hot = [r["count"] for r in tiles if r.frag_id == "hot"]
+    assert len(hot) == 27 * 28 // 2 and max(hot) <= 3 * size[len(size) // 2]
+
+
 def _slow_mine(ws, pool, target, max_fpr):
     edges, used, cand = _slow_edges(ws), set(), []
     for (a, b), (s, rule, _, c) in sorted(edges.items(), key=lambda e: (-e[1][0], e[0])):
