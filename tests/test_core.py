@@ -209,6 +209,23 @@ def test_a_hot_fragment_has_tiles_of_the_usual_size(spark):
     assert len(hot) == 27 * 28 // 2 and max(hot) <= 3 * size[len(size) // 2]
 
 
+def test_filters_before_the_alignment_lose_none(spark):
+    random.seed(12)
+    ws = []
+    for _ in range(9):  # families of long words with gaps, where the bounds on a rule's complexity matter
+        base = [random.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(random.randint(7, 14))]
+        for _ in range(11):
+            w = list(base)
+            for _ in range(random.randint(0, 4)):
+                x = random.randrange(len(w))
+                w[x : x + random.randint(0, 3)] = random.choice(["_", "_", "A_", "", "", "KR", "D", "S"])
+                w = w or ["A"]
+            ws.append("".join(w)[:17])
+    want = _slow_edges(ws)
+    got = {(r.a, r.b): (round(r.s, 5), r.rule, r.edge_type, r.complexity) for r in fragment_edges(_fw(spark, {"f": ws})).collect()}
+    assert got == want and len(want) > 60 and any("_" in v[1] for v in want.values()) and max(v[3] for v in want.values()) >= 11.5
+
+
 def _slow_mine(ws, pool, target, max_fpr):
     edges, used, cand = _slow_edges(ws), set(), []
     for (a, b), (s, rule, _, c) in sorted(edges.items(), key=lambda e: (-e[1][0], e[0])):
