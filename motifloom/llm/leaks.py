@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.llm.grams import U64, fixed_bitmap, has_bit, mix
@@ -227,6 +227,14 @@ def _near_windows(bits, lengths: tuple[int, ...], max_edits: int, piece: int, do
     return run
 
 
+_NAME = "struct<a: bigint, b: bigint>"
+
+
+def _name() -> Column:
+    """128 bits that stand for a window, so that its words needn't be shuffled with it."""
+    return F.struct(F.xxhash64("codes").alias("a"), F.xxhash64(F.lit(1), "codes").alias("b"))
+
+
 def _signed(width: int, lengths: tuple[int, ...], rounds: int, sampled: int, piece: int = 4096):
     """(key, w) for every round of the windows (w, codes)."""
 
@@ -245,20 +253,20 @@ def _signed(width: int, lengths: tuple[int, ...], rounds: int, sampled: int, pie
 
 
 def _verified(lengths: tuple[int, ...], width: int, max_edits: int):
-    """(codes, wanted, edits) of the pairs (codes, wanted) of a document's and an item's window with at most ``max_edits`` edits."""
+    """(w, i, edits) of the pairs (w, i, codes of w, codes of i) of a document's and an item's window with at most ``max_edits`` edits."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, size = _padded(batch.column(0), lengths[-1])
-            b, _ = _padded(batch.column(1), width)
+            a, size = _padded(batch.column(2), lengths[-1])
+            b, _ = _padded(batch.column(3), width)
             edits = np.full(batch.num_rows, max_edits + 1)
             for length in lengths:
                 mine = np.flatnonzero(size == length)
                 edits[mine] = _within(a[mine, :length], b[mine], max_edits)
             near = pa.array(np.flatnonzero(edits <= max_edits))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(edits.astype(np.int32)).take(near)], names=["codes", "wanted", "edits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(edits.astype(np.int32)).take(near)], names=["w", "i", "edits"])
 
     return run
 
@@ -279,17 +287,17 @@ def leaked_items(
     corpus = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).dropna()
     queries = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("t")).dropna().distinct()
     wanted = cut(queries.mapInArrow(_item_windows(width), "item long, codes array<long>").distinct())
-    windows = lambda df: df.select(F.xxhash64("codes").alias("w"), "codes").distinct()
+    windows = lambda df: df.select(_name().alias("w"), "codes").distinct()
     sought = cut(windows(wanted))
     bits = docs.sparkSession.sparkContext.broadcast(fixed_bitmap(sought.select("codes").mapInArrow(_marks(width, piece), "h long"), "h"))
     kind = corpus.schema["id"].dataType.simpleString()
     held = cut(corpus.mapInArrow(_near_windows(bits, lengths, max_edits, piece), f"id {kind}, codes array<long>"))
     met = cut(windows(held))
-    keys = lambda df, name: df.mapInArrow(_signed(width, lengths, rounds, sampled), "key long, w long").withColumnRenamed("w", name)
+    keys = lambda df, name: df.mapInArrow(_signed(width, lengths, rounds, sampled), f"key long, w {_NAME}").withColumnRenamed("w", name)
     pairs = keys(met, "w").join(keys(sought, "i"), "key").select("w", "i").distinct()
-    both = pairs.join(met, "w").join(sought.select(F.col("w").alias("i"), F.col("codes").alias("wanted")), "i").select("codes", "wanted")
-    near = both.mapInArrow(_verified(lengths, width, max_edits), "codes array<long>, wanted array<long>, edits int")
-    found = held.join(near, "codes").select("id", "wanted", "edits").join(wanted.withColumnRenamed("codes", "wanted"), "wanted")
+    both = pairs.join(met, "w").join(sought.select(F.col("w").alias("i"), F.col("codes").alias("wanted")), "i").select("w", "i", "codes", "wanted")
+    near = both.mapInArrow(_verified(lengths, width, max_edits), f"w {_NAME}, i {_NAME}, edits int")
+    found = held.select("id", _name().alias("w")).join(near, "w").select("id", "i", "edits").join(wanted.select("item", _name().alias("i")), "i")
     return found.groupBy("id", "item").agg(F.min("edits").alias("edits"))
 
 
