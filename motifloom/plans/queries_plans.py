@@ -3,9 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from motifloom.operators.queries_core import _COVER, _selected, frag_words, words
+from motifloom.operators.queries_core import _COVER, _FW, _selected, frag_words, words
 from motifloom.operators.words import with_word_ids
-from motifloom.plans.mine import fragment_edges, mine_rules, run_totals
+from motifloom.plans.mine import LONGEST, SHORTEST, fragment_edges, fragment_tiles, mine_rules, run_totals
 from motifloom.plans.neighbours import build_graph
 from motifloom.session import cut, read
 
@@ -14,6 +14,14 @@ def q_fragment_edges(spark, d):
     return fragment_edges(cut(frag_words(spark, d))).withColumn("s", F.round(F.col("s").cast("double"), 5))
 
 
+def q_fragment_pairs(spark, d):
+    """Pairs of words that each fragment's tiles bring together: every pair of its words of a length that a rule can match, once."""
+    each = fragment_tiles(cut(frag_words(spark, d))).groupBy("frag_id", "i", "j", "blk").agg(F.count(F.lit(1)).alias("c"))
+    tiles = each.groupBy("frag_id", "i", "j").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    within = F.when(F.col("i") == F.col("j"), F.col("s")).otherwise(F.col("q"))
+    return tiles.groupBy("frag_id").agg(F.sum((F.col("s") * F.col("s") - within) / 2).cast("long").alias("n_pairs"))
+
+
 def part_words(spark, d):
     """Brands and the two-token names of their parts as fragments and words, in the order of the names."""
     p = read(spark, d, "part").select(F.col("p_brand").alias("frag_id"), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("word")).dropna().distinct()
@@ -66,8 +74,9 @@ def q_pool_totals(spark, d):
     return run_totals(summary).withColumns({c: F.round(c, 9) for c in ("coverage", "gen_coverage")})
 
 
-QUERIES = {f.__name__: f for f in (q_fragment_edges, q_mine_part_words, q_mine_rules, q_covered_words, q_mine_summary, q_run_totals, q_pool_totals, q_build_graph, q_build_graph_all)}
+QUERIES = {f.__name__: f for f in (q_fragment_pairs, q_fragment_edges, q_mine_part_words, q_mine_rules, q_covered_words, q_mine_summary, q_run_totals, q_pool_totals, q_build_graph, q_build_graph_all)}
 SQL = {
+    "q_fragment_pairs": f"with {_FW} select a.frag_id, count(b.ord) n_pairs from fw a left join fw b on b.frag_id = a.frag_id and b.ord > a.ord and length(b.word) between {SHORTEST} and {LONGEST} where length(a.word) between {SHORTEST} and {LONGEST} group by 1",
     "q_pool_totals": f"""with {_COVER}, t as (select distinct frag_id, rule_id, word_id, n_pos from sel join fh using (frag_id, rule_id) join n using (frag_id, rule_id)),
 c as (select frag_id, count(distinct word_id) covered, count(distinct case when n_pos > 1 then word_id end) gen from t group by 1), r as (select frag_id, count(*) r from sel group by 1),
 s as (select tot.n, coalesce(r, 0) + tot.n - coalesce(covered, 0) n_rules, coalesce(gen, 0) gen from tot left join r using (frag_id) left join c using (frag_id))
