@@ -25,6 +25,23 @@ def _fw(spark, lists):
     return spark.createDataFrame(rows, "frag_id string, ord long, word_id long, word string")
 
 
+@pytest.mark.parametrize("master, shared, fails", [("spark://host:7077", None, True), ("local-cluster[2,1,512]", None, True), ("yarn", "file:///shared", False), ("local[4]", None, False)])
+def test_checkpoint_folder_is_shared_on_clusters(master, shared, fails):
+    from types import SimpleNamespace as N
+
+    from motifloom.session import ensure_checkpoint_dir
+
+    given = []
+    sc = N(master=master, setCheckpointDir=given.append, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
+    session = N(sparkContext=sc, conf=N(get=lambda name, default: shared))
+    if fails:
+        with pytest.raises(ValueError):
+            ensure_checkpoint_dir(session)
+    else:
+        ensure_checkpoint_dir(session)
+        assert len(given) == 1 and given[0] == (shared or given[0])
+
+
 # ---- skew ----
 
 
