@@ -175,7 +175,7 @@ def test_matching_equals_the_walk(spark):
             if not used & {a, b}:
                 used |= {a, b}
                 want.add((g, a, b, s))
-    for head in (10**6, 60):
+    for head in (10**6, 60, 7):
         got = [tuple(r)[:4] for r in greedy_matching(df, "grp", head).collect()]
         assert set(got) == want and len(got) == len(want)
     assert greedy_matching(df.limit(0), "grp").collect() == []
@@ -186,6 +186,13 @@ def test_matching_of_a_long_chain_of_equal_scores(spark):
     assert {(r.a, r.b) for r in greedy_matching(df, "grp", 100).collect()} == {(k, k + 1) for k in range(0, 400, 2)}
 
 
+def test_matching_of_a_word_with_more_edges_than_a_head(spark):
+    rows = [("x", 0, k, 1.0) for k in range(1, 90)] + [("x", 50, k, 1.0) for k in range(51, 80)] + [("x", 1, 2, 2.0), ("y", 1, 2, float("nan"))]
+    df = spark.createDataFrame(rows, "grp string, a long, b long, s double")
+    assert {(r.grp, r.a, r.b) for r in greedy_matching(df, "grp", 10).collect()} == {("x", 1, 2), ("x", 0, 3), ("x", 50, 51)}
+
+
+
 def _slow_edges(ws):
     out = {}
     for a, b in itertools.combinations(range(len(ws)), 2):
