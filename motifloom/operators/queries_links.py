@@ -48,7 +48,7 @@ dp as (select id, 0 as i, fl.k as j, f v, -1e300::double v2, -1e300::double v3,
       case when sc.x = '_' and sc.y <> '_' then greatest(lag(v, 1) over k + 0.5, coalesce(lag(v, 2) over k + 1.0, -1e300), coalesce(lag(v, 3) over k + 1.5, -1e300), coalesce(lag(v, 4) over k + 2.0, -1e300)) else -1e300 end,
       case when sc.x <> '_' and sc.y = '_' then greatest(lag(v, 1) over k + 0.5, lag(v2, 1) over k + 1.0, lag(v3, 1) over k + 1.5, lag(v4, 1) over k + 2.0) else -1e300 end) end x
    from dp join p on p.id = dp.id and dp.i < p.m left join sc on sc.x = p.q[dp.i + 1] and sc.y = p.t[dp.j] window k as (partition by dp.id order by dp.j)) z)
-select pi i, pj j, round(max(v + f), 3) score from dp join p on p.id = dp.id and dp.i = p.m join fl on fl.k = p.n - dp.j group by 1, 2""")
+select pi i, pj j, round(max(v + f), 3) + 0.0::double score from dp join p on p.id = dp.id and dp.i = p.m join fl on fl.k = p.n - dp.j group by 1, 2""")
 def q_align_score(spark, d):
     """Scores of the mining alignment of all linked words, the word with the smaller id first."""
     return align_pairs(linked_words(spark, d), "wi", "wj", float("-inf")).select("i", "j", F.round(F.col("score").cast("double"), 3).alias("score"))
@@ -65,7 +65,7 @@ dp as (select id, 0 as i, cast(k as int) as j, cast(case when k = 0 then 0 else
    select dp.id, dp.i, dp.j, greatest(lag(v, 1, -1e300) over (partition by dp.id order by dp.j) + coalesce(sc.s, -1.0), case when dp.j = 0 then -1e300 else v - 0.15 end) x
    from dp join p on p.id = dp.id and dp.i < p.m left join sc on sc.x = p.q[dp.i + 1] and sc.y = p.t[dp.j]) z),
 b as (select pi i, pj j, max(v + case when p.n > dp.j then -0.2 * (p.n - dp.j) - 0.2 else 0 end) s from dp join p on p.id = dp.id and dp.i = p.m group by 1, 2)
-select i, j, round(coalesce(s, 0.0), 6) score from l2 left join b using (i, j)""")
+select i, j, round(coalesce(s, 0.0), 6) + 0.0::double score from l2 left join b using (i, j)""")
 def q_graph_score(spark, d):
     """Scores of the graph's alignment of all linked words in the better direction."""
     return score_pairs(linked_words(spark, d), "wi", "wj", None).select("i", "j", F.round("score", 6).alias("score"))
